@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ampmill.functions.values import STAND_INS
-from ampmill.operators import imputation
+from ampmill.operators import imputation, units
 from ampmill.session import table
 
 
@@ -19,7 +19,19 @@ def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imputation.fill_missing(table(spark, sf_dir, "parts"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled}
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of extracted_rows in its symbol's common unit."""
+    return units.to_common_units(table(spark, sf_dir, "extracted_rows"), table(spark, sf_dir, "text_rows"), table(spark, sf_dir, "symbol_units")).select(
+        "row_id", "stat", "printed", "written", "source", "common_unit", "value", "milli", "converted"
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers whose unit has another size or zero point than the common one."""
+    return p4_values(spark, sf_dir).filter("converted").select("row_id", "stat", "milli")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_filled, p4_found, p4_values)}
 
 _UNKNOWN = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 SQL = {
