@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampmill.llm import bpe, canonical, lookalike, packing
+from ampmill.llm import bpe, canonical, entities, lookalike, packing
 from ampmill.session import table
 
 
@@ -24,6 +24,16 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical(spark, sf_dir)
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of parts and listings that are the same transistor, with the marginal probability of the match."""
+    return entities.match_listings(table(spark, sf_dir, "parts"), table(spark, sf_dir, "listings"), table(spark, sf_dir, "canon_values"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched rows alone."""
+    return p3_matches(spark, sf_dir).select("part_id", "listing_id")
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_cells(lookalike.datasheet_cells(table(spark, sf_dir, "text_rows"), table(spark, sf_dir, "extracted_rows")))
 
@@ -53,5 +63,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).filter("n_pieces > 1 and piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_values, p5_found, p5_cells, p6_ids, p7_found, p7_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_matches, p5_found, p5_cells, p6_ids, p7_found, p7_containers)}
 SQL: dict[str, str] = {}
