@@ -97,7 +97,8 @@ def match_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHO
     """
     forms = canon.select("canon_id", F.col("kind").alias("field"), "name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form_text"))
     forms = plain_form(forms, "form_text", "field", "form").filter("form <> ''").select("canon_id", "field", "name", "form").distinct()
-    forms = forms.withColumn("tokens", _tokens(F.col("form")))
+    # written, so that the long expressions of the plain form stand in one small plan each
+    forms = materialize(forms.withColumn("tokens", _tokens(F.col("form"))), "canon-forms")
     distinct = plain_form(values.filter("value is not null").select("field", "value").distinct(), "value", "field", "plain")
     distinct = materialize(distinct.withColumn("tokens", _tokens(F.col("plain"))), "typed-values")
     # several spellings have one plain form: pair each form once
