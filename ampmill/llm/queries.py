@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampmill.llm import bpe, canonical, entities, lookalike, packing
+from ampmill.llm import bpe, canonical, entities, lookalike, packing, personal
 from ampmill.session import table
 
 
@@ -63,5 +63,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).filter("n_pieces > 1 and piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_matches, p5_found, p5_cells, p6_ids, p7_found, p7_containers)}
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.find_personal(docs, personal.fit_model(docs, table(spark, sf_dir, "first_names"), table(spark, sf_dir, "canon_values")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information with its place."""
+    return _personal(spark, sf_dir).select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.kind", "m.start_pos", "m.end_pos")
+
+
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders for what was found."""
+    return personal.redact(_personal(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_matches, p5_found, p5_cells, p6_ids, p7_found, p7_containers, p8_found, p8_texts)}
 SQL: dict[str, str] = {}
