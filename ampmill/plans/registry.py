@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampmill.plans import problems
+from ampmill.plans import power, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**power.QUERIES, **problems.QUERIES}
+SQL = {**power.SQL, **problems.SQL}
