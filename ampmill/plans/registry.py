@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampmill.plans import power, problems
+from ampmill.plans import power, problems, search
 
-QUERIES = {**power.QUERIES, **problems.QUERIES}
-SQL = {**power.SQL, **problems.SQL}
+QUERIES = {**power.QUERIES, **problems.QUERIES, **search.QUERIES}
+SQL = {**power.SQL, **problems.SQL, **search.SQL}
