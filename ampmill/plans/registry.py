@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampmill.plans import power, problems, search
+from ampmill.plans import observed, power, problems, search
 
-QUERIES = {**power.QUERIES, **problems.QUERIES, **search.QUERIES}
-SQL = {**power.SQL, **problems.SQL, **search.SQL}
+QUERIES = {**observed.QUERIES, **power.QUERIES, **problems.QUERIES, **search.QUERIES}
+SQL = {**observed.SQL, **power.SQL, **problems.SQL, **search.SQL}
