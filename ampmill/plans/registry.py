@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampmill.plans import observed, power, problems, search
+from ampmill.plans import models, observed, power, problems, search, texts
 
-QUERIES = {**observed.QUERIES, **power.QUERIES, **problems.QUERIES, **search.QUERIES}
-SQL = {**observed.SQL, **power.SQL, **problems.SQL, **search.SQL}
+QUERIES = {**models.QUERIES, **observed.QUERIES, **power.QUERIES, **problems.QUERIES, **search.QUERIES, **texts.QUERIES}
+SQL = {**models.SQL, **observed.SQL, **power.SQL, **problems.SQL, **search.SQL, **texts.SQL}
