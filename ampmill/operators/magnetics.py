@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Resistivity of annealed copper in Ωm, magnetic constant, oersted in A/m.
-COPPER, MU0, OERSTED = 1.724e-8, 4e-7 * math.pi, 79.58
+COPPER, MU0, OERSTED = 1.71e-8, 4e-7 * math.pi, 79.58
 
 
 def percent_permeability(h_oe: Column, a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -120,7 +120,7 @@ def wide(fused: DataFrame, key: str, symbols: list[str]) -> DataFrame:
 
 # --- predicates ---------------------------------------------------------------------------------
 
-_PREDICATE = re.compile(r"^\s*(!)?\s*(\w+)(?:\.(\w+)(?:\.(\w+))?)?\s*(?:(==|!=|<=|>=|<|>|~=)\s*(.+?))?\s*$")
+_PREDICATE = re.compile(r"^\s*(!)?\s*([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*))?)?\s*(?:(==|!=|<=|>=|<|>|~=)\s*(.+?))?\s*$")
 _COLUMN = {"min": "vmin", "typ": "vtyp", "max": "vmax", "unit": "unit", "source": "source"}
 
 

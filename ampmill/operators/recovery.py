@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ampmill.functions.bind import let
 
 # The fraction of its peak at which the recovery current counts as over, the share of the output charge in a measured recovery charge, the exponent of the lifetime over temperature.
-K_TRR, QOSS_SHARE, N_TAU = 0.25, 0.1, 1.2
+K_TRR, QOSS_SHARE, N_TAU = 0.1, 0.1, 1.2
 STEPS = 100
 
 

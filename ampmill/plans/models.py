@@ -180,13 +180,13 @@ _COIL = f"""co AS (SELECT pk, 0.05::DOUBLE + (pk % 20) * 0.005::DOUBLE AS l_e, 1
    CASE WHEN pk % 2 = 0 THEN 4.2e-7::DOUBLE ELSE 1.6e-6 END AS bb, CASE WHEN pk % 2 = 0 THEN 1.9::DOUBLE ELSE 1.8 END AS bc, CASE WHEN pk % 2 = 0 THEN 1e9::DOUBLE ELSE 1.9e9 END AS la, CASE WHEN pk % 2 = 0 THEN 1.1e8::DOUBLE ELSE 2e8 END AS lb,
    CASE WHEN pk % 2 = 0 THEN 1.9e6::DOUBLE ELSE 9e5 END AS lc, CASE WHEN pk % 2 = 0 THEN 1.9e-14::DOUBLE ELSE 2.5e-14 END AS ld, CAST(10 + pk % 30 AS DOUBLE) AS turns, 10e-6::DOUBLE + (pk % 50) * 1e-6::DOUBLE AS l0, 1e-3::DOUBLE + (pk % 9) * 1e-3::DOUBLE AS r_dc,
    0.127::DOUBLE * pow(92::DOUBLE, (36 - (14::DOUBLE + pk % 10)) / 39) * 1e-3 AS d, CAST(1 + pk % 3 AS DOUBLE) AS strands, p.* FROM dparts CROSS JOIN {_PT} p),
-  zz AS (SELECT *, d / sqrt(1.724e-8 / (pi() * f * (4e-7 * pi()))) AS z, turns / l_e * io / 79.58 AS h FROM co),
+  zz AS (SELECT *, d / sqrt(1.71e-8 / (pi() * f * (4e-7 * pi()))) AS z, turns / l_e * io / 79.58 AS h FROM co),
   sk AS (SELECT *, pow(z, 4) / 768 * pow(1 + (pow(z, 6) + 6.1 * pow(z, 5) + 32 * pow(z, 4) + 13 * pow(z, 3) + 90 * pow(z, 2) + 110 * z) / 36864, -0.5) AS skin,
     pow(pi() * strands * turns, 2) * d * d * pow(z, 4) / (192 * pow(pi() / 2 * (0.0236 + 0.0404), 2)) * pow(1 + (pow(z, 6) + 2.7 * pow(z, 5) - 1.3 * pow(z, 4) - 17 * pow(z, 3) + 85 * pow(z, 2) - 43 * z) / 1024, -0.5) AS near,
     0.01 / (0.01::DOUBLE + bb * pow(h, bc)) AS sh FROM zz),
   cl AS (SELECT *, CASE WHEN sh BETWEEN 0.25 AND 1 THEN sh END AS mu FROM sk), bp AS (SELECT *, 0.5 * (4e-7 * pi()) * mu * mu_r * turns / l_e * di AS b FROM cl)"""
 _TS = f"ts AS (SELECT pk, qrr, trr * 4 AS trr, {_C.format('10 + pk % 50')} AS i_f, (100::DOUBLE + (pk % 9) * 50) * 1e6 AS a, coss * abs(vds) AS qoss FROM dparts)"
-_FIT = f"""{_TS}, f1 AS (SELECT *, ln(4::DOUBLE) AS l, qrr > 0 AND trr > 0 AND i_f > 0 AS good FROM ts), f2 AS (SELECT *, (l - 2) / (2 * a * l) AS ca, trr / l AS cb FROM f1),
+_FIT = f"""{_TS}, f1 AS (SELECT *, ln(10::DOUBLE) AS l, qrr > 0 AND trr > 0 AND i_f > 0 AS good FROM ts), f2 AS (SELECT *, (l - 2) / (2 * a * l) AS ca, trr / l AS cb FROM f1),
   f3 AS (SELECT *, CASE WHEN good AND cb * cb + 4 * ca * qrr >= 0 THEN 2 * qrr / (cb + sqrt(greatest(cb * cb + 4 * ca * qrr, 0))) END AS irrm FROM f2), f4 AS (SELECT *, (trr - irrm / a) / l AS td0 FROM f3), f5 AS (SELECT *, CASE WHEN td0 > 0 THEN td0 END AS td FROM f4),
   f6 AS (SELECT *, (i_f + irrm) / a AS t0 FROM f5), f7 AS (SELECT *, greatest(10 * td, 10 * t0, 1e-6) AS hi FROM f6),
   f8 AS (SELECT *, list_reduce(list_transform(range(101), lambda k: {{'lo': td * (1 + 1e-9), 'hi': hi}}), lambda s, x: {{
@@ -211,7 +211,7 @@ SQL = {
     "g7_tally": f"WITH {DPARTS_SQL}, v AS (SELECT mfr, {_CAP} AS v FROM dparts) SELECT mfr, " + ", ".join(f"count(*) FILTER (WHERE v = '{x}') AS {x.lower()}" for x in ("PASS", "WARN", "FAIL", "UNVERIFIED")) + " FROM v GROUP BY mfr",
     "g10_errors": f"WITH {DPARTS_SQL}, e AS (SELECT id / 100 - 1 AS err FROM dparts WHERE id IS NOT NULL), r AS (SELECT err, row_number() OVER (ORDER BY err) - 1 AS i, count(*) OVER () AS n FROM e) SELECT max(n) AS n, round(avg(err), 6) AS bias, " + ", ".join(f"round(max(CASE WHEN i = CAST(floor(n * {s}) AS BIGINT) THEN err END), 6) AS {c}" for c, s in (("median", 0.5), ("p90", 0.9), ("q1", 0.25), ("q3", 0.75))) + " FROM r",
     "h25_core": f"WITH {DPARTS_SQL}, {_COIL} SELECT pk, round(mu, 6) AS mu_share, round(l0 * mu * 1e6, 6) AS l_dc_uh, round(b, 8) AS b_pk, round((f / (la / pow(b * 1e4, 3) + lb / pow(b * 1e4, 2.3) + lc / pow(b * 1e4, 1.65)) + ld * b * 1e4 * b * 1e4 * f * f) * a_e * l_e * 1e3, 4) AS p_core FROM bp",
-    "h26_wire": f"WITH {DPARTS_SQL}, {_COIL} SELECT pk, round(36 - 39 * (log10(d * 1e3 / 0.127) / log10(92::DOUBLE)), 6) AS awg, round(sqrt(1.724e-8 / (pi() * f * (4e-7 * pi()))) * 1e3, 6) AS skin_mm, round(skin, 6) AS skin, round(near, 5) AS near FROM sk",
+    "h26_wire": f"WITH {DPARTS_SQL}, {_COIL} SELECT pk, round(36 - 39 * (log10(d * 1e3 / 0.127) / log10(92::DOUBLE)), 6) AS awg, round(sqrt(1.71e-8 / (pi() * f * (4e-7 * pi()))) * 1e3, 6) AS skin_mm, round(skin, 6) AS skin, round(near, 5) AS near FROM sk",
     "h27_coil_loss": f"WITH {DPARTS_SQL}, {_COIL} SELECT pk, round((io * io + di * di / 12) * r_dc, 6) AS p_dcr, round(di * di / 12 * (1 + skin + near) * r_dc, 6) AS p_acr, round(pow(io * sqrt((vi - vo) * vo) / vi, 2) * 2e-3, 6) AS p_cin, round(di * di / 12 * 5e-3, 6) AS p_cout, round(io * duty * (1 - duty) / (f * 0.5) * 1e6, 6) AS c_in_uf, round(di / (8 * f * 0.1) * 1e6, 6) AS c_out_uf FROM sk",
     "h29_turns": f"WITH {DPARTS_SQL}, {_COIL} SELECT pk, min(CAST(t AS INTEGER)) AS turns FROM co CROSS JOIN range(1, 100) k(t) WHERE t * t * (4e-7::DOUBLE * pi() * mu_r * a_e / l_e) >= 40e-6 GROUP BY pk",
 }

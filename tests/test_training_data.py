@@ -21,10 +21,16 @@ def test_found_and_filled(spark):
     got = {(r.part_id, r.field): r for r in imputation.fill_missing(parts(spark, rows)).collect()}
     assert len(got) == 18
     assert {k for k, r in got.items() if not r.found} == {(2, "Qrr"), (2, "V_pl"), (2, "housing"), (3, "V_pl"), (3, "housing"), (4, "Qrr"), (4, "V_pl"), (4, "housing"), (5, "Qrr"), (5, "housing")}
-    assert got[2, "Qrr"].number == 5e-8 and got[2, "Qrr"].method == "dependency:base" and got[2, "housing"].text == "TO-220"
+    assert got[2, "Qrr"].number == 5e-8 and got[2, "Qrr"].method == "dependency:series,substrate" and got[2, "housing"].text == "TO-220"
     assert got[3, "Qrr"].method == "given" and not got[3, "Qrr"].filled and got[4, "housing"].method.startswith(("group", "dependency"))
 
 
+def test_base_number_is_a_dependency(spark):
+    rows = [("ABC12345N10K", "Si", "TO-220", 100.0, 5e-8, 4.0), ("ABC12345N10KQTR1", "Si", "TO-220", 100.0, 5e-8, 4.0), ("ABC12345N10KTRL3", "Si", "x", 100.0, None, None)]
+    got = {r.field: r for r in imputation.fill_missing(parts(spark, rows)).filter("part_id = 2").collect()}
+    assert got["Qrr"].method == got["V_pl"].method == "dependency:base" and got["V_pl"].number == 4.0 and got["V_pl"].confidence == 1.0
+
+
 def test_nothing_to_fill_from(spark):
     none = imputation.fill_missing(parts(spark, [("A", "Si", None, 1.0, None, None)])).collect()
     assert {r.method for r in none} == {"none"} and not any(r.filled for r in none)
