@@ -35,6 +35,8 @@ BUCKETS = 1 << 16
 ROUNDS, DAMPING = 6, 0.3
 #: Added to the log-odds of a person: a name missed costs more than a word masked.
 PERSON_SHIFT = 1.0
+#: Added besides for a word behind an initial, and half of it behind "M.", which may be a title.
+INITIAL_SHIFT = 1.5
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\wß-öø-ÿ]*(?:['’\-][A-ZÀ-ÖØ-Þ]?[\wß-öø-ÿ]+)*"
 _CAPS = rf"{_CAP}(?: {_CAP}){{0,2}}"
@@ -66,6 +68,8 @@ PHONE_CUE = re.compile(r"(?i)(?:tel\.?|telephone|phone|mobile|fax|call|text me o
 OTHER_CUE = re.compile(r"(?i)(?:sku|serial|order|ticket|lot|badge|pcn|charge|auftrag|batch|invoice|part|reel|page|rev|version|shot|rack|unit|start|log:|#)\s*[#:]?\s*$|[\d;#/_\-]$")
 PARTICLES = {"van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "la", "le", "ten", "ter", "dos", "zu", "af", "el", "bin", "ibn"}
 TITLES = {"dr", "herr", "frau", "mr", "mrs", "ms", "prof", "mme", "mlle", "monsieur", "madame", "señor", "señora", "sr", "sra", "ing", "dipl"}
+# Words before a name that address it; a comma behind the name doesn't turn it round.
+GREETINGS = {"hello", "hi", "dear", "hallo", "hola", "bonjour", "liebe", "lieber", "as"}
 # Words that open a sentence or name a document and are never a name.
 NO_NAMES = set(
     "i hello hi dear hallo hola bonjour liebe lieber guten sehr geehrte geehrter cher chère estimado estimada buenos buenas as met ask call contact from to cc the and for by if at in on id "
@@ -177,6 +181,8 @@ def chain_pairs(nodes: list[Node], text: str) -> list[tuple[int, int]]:
         if a.kind == b.kind == "word" and b.start - a.end <= 12:
             between = text[a.end : b.start]
             # "M." is a title as often as an initial: it tells nothing of its neighbour's label
+            if "," in between and a.before[0].lower() in GREETINGS:
+                continue
             if a.text == "M." or a.text.lower() in NO_NAMES or b.text.lower() in NO_NAMES:
                 continue
             if between in (" ", ", ", "") or (between.strip() in PARTICLES and "\n" not in between) or all(x in PARTICLES for x in between.split()) and between.strip():
@@ -335,6 +341,8 @@ def mentions(texts: list[str | None], model: Model, memo: dict[str, int], own: l
                 unary.append((0.0, -20.0, -60.0))
             elif n.kind == "word":
                 z = float(model.person[_index(_features(n, model.given, True), memo)].sum() + model.person[-1]) + PERSON_SHIFT
+                if re.fullmatch(r"[A-Z]\.", n.before[0]):
+                    z += INITIAL_SHIFT / 2 if n.before[0] == "M." else INITIAL_SHIFT
                 unary.append((0.0, z, -60.0))
             elif n.kind == "number":
                 at = _index(_features(n, model.given, True), memo)
@@ -376,7 +384,7 @@ def _spans(text: str | None, nodes: list[Node], states: np.ndarray) -> list[tupl
     while i < len(nodes):
         n = nodes[i]
         kind = LABELS[n.kind][int(states[i])]
-        if not kind or n.kind == "word" and n.text.rstrip(".").lower() in TITLES | NO_NAMES:
+        if not kind or n.kind == "word" and (n.text.lower() in NO_NAMES or n.text.rstrip(".").lower() in TITLES):
             i += 1
             continue
         start, end = n.start, n.end
@@ -405,7 +413,7 @@ def _spans(text: str | None, nodes: list[Node], states: np.ndarray) -> list[tupl
 
 def _turned(run: list[Node]) -> bool:
     """Whether a comma behind the run can stand within one name, surname first: only one word, no initial, before it."""
-    return len(run) == 1 and len(run[0].text) > 2
+    return len(run) == 1 and len(run[0].text) > 2 and run[0].before[0].lower() not in GREETINGS
 
 
 def fit_model(docs: DataFrame, first_names: DataFrame, canon: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
