@@ -120,7 +120,7 @@ def e10_base_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e11_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry values attached where a part has one, null else."""
     v = _variants(spark, sf_dir)
-    return v.join(ob.base_lookup(v, _registry(spark, sf_dir)).select("mfr", "mpn", "value"), ["mfr", "mpn"], "left")
+    return v.join(ob.base_lookup(v, _registry(spark, sf_dir)).select("mfr", "mpn", "value"), ["mfr", "mpn"], "left").withColumn("value", F.col("value").cast("double"))
 
 
 def e16_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ SQL = {
     "e7_wide": f"{_F} SELECT part, " + ", ".join(f"round(max(CASE WHEN symbol = '{s}' THEN {'coalesce(vmax, vtyp)' if s == 'Rds_on' else _VAL}{' * 1e3' if s == 'Vsd' else ''} END), 6) AS {s.lower()}" for s in SYMBOLS) + " FROM fu GROUP BY part",
     "e9_needed": f"""WITH {DOBS_SQL} SELECT part, concat_ws(',', CASE WHEN NOT bool_or(symbol = 'Qg') THEN 'Qg' END, CASE WHEN NOT bool_or(symbol IN ('Qgs', 'Qgd')) THEN 'Qgs|Qgd' END, CASE WHEN NOT bool_or(symbol = 'Vsd') THEN 'Vsd' END, CASE WHEN NOT bool_or(symbol = 'Coss') THEN 'Coss' END) AS missing FROM dobs GROUP BY part""",
     "e10_base_lookup": f"{_LOOK} SELECT mfr, mpn, base, value FROM ok WHERE rn = 1",
-    "e11_enrich": f"{_LOOK} SELECT va.mfr, va.mpn, o.value FROM va LEFT JOIN (SELECT * FROM ok WHERE rn = 1) o ON va.mfr = o.mfr AND va.mpn = o.mpn",
+    "e11_enrich": f"{_LOOK} SELECT va.mfr, va.mpn, CAST(o.value AS DOUBLE) AS value FROM va LEFT JOIN (SELECT * FROM ok WHERE rn = 1) o ON va.mfr = o.mfr AND va.mpn = o.mpn",
     "e13_equal_count": f"WITH {DOBS_SQL}, lo AS (SELECT * FROM dobs WHERE cond_vgs < 10), {_FOLD.replace('{src}', 'lo').replace('{{', '{').replace('}}', '}')}, er AS (SELECT d.part, d.symbol, min(abs(fu.vmin - d.vmin) / abs(d.vmin)) AS a, min(abs(fu.vtyp - d.vtyp) / abs(d.vtyp)) AS b, min(abs(fu.vmax - d.vmax) / abs(d.vmax)) AS c FROM dobs d JOIN fu ON d.part = fu.part AND d.symbol = fu.symbol WHERE cond_vgs = 10 GROUP BY d.part, d.symbol) SELECT part, CAST(sum(CASE WHEN a < 0.05 THEN 1 ELSE 0 END + CASE WHEN b < 0.05 THEN 1 ELSE 0 END + CASE WHEN c < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_equal FROM er GROUP BY part",
     "e14_difference_count": f"{_F}, er AS (SELECT d.part, greatest(" + ", ".join(f"CASE WHEN d.{s} IS NOT NULL AND fu.{s} IS NULL THEN 1 ELSE coalesce(abs(fu.{s} - d.{s}) / abs(d.{s}), 0) END" for s in ob.STATS) + ") AS w FROM dobs d LEFT JOIN fu ON d.part = fu.part AND d.symbol = fu.symbol) SELECT part, CAST(sum(CASE WHEN w >= 0.001 THEN 1 ELSE 0 END) AS BIGINT) AS n_different FROM er GROUP BY part",
     "e16_collapse": f"WITH {DPARTS_SQL}, {_VAR} SELECT mfr, mpn FROM va a WHERE NOT EXISTS (SELECT 1 FROM va b WHERE a.mfr = b.mfr AND a.mpn <> b.mpn AND starts_with(a.mpn, b.mpn))",
