@@ -149,9 +149,9 @@ def a20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units filled down the rows of each part and symbol."""
-    e = table(spark, sf_dir, "extracted_rows").select("row_id", "mpn", "symbol", "unit")
-    return ob.filled_down(e, ["mpn", "symbol"], "row_id", "unit").select("row_id", "unit_filled")
+    """Units filled down the rows of each page and symbol."""
+    e = table(spark, sf_dir, "extracted_rows").select("row_id", "mpn", "page_num", "symbol", "unit")
+    return ob.filled_down(e, ["mpn", "page_num", "symbol"], "row_id", "unit").select("row_id", "unit_filled")
 
 
 def w8_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ SQL = {
       AND count(*) FILTER (WHERE symbol = 'Qgs') >= 2 AND bool_or(symbol = 'Coss' AND cond_vgs <= 6) AND bool_or(symbol = 'Qrr' AND unit LIKE '%C')""",
     "g4_coverage": f"WITH {DOBS_SQL} SELECT symbol, count(DISTINCT part) AS parts, round(CAST(count(DISTINCT part) AS DOUBLE) / (SELECT count(DISTINCT part) FROM dobs), 6) AS share FROM dobs GROUP BY symbol",
     "g5_summary": f"{_F} SELECT count(DISTINCT part) AS parts, count(*) AS fields, CAST(count(vmin) + count(vtyp) + count(vmax) AS BIGINT) AS present_values FROM fu",
-    "w6_fill": "SELECT row_id, last_value(unit IGNORE NULLS) OVER (PARTITION BY mpn, symbol ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit_filled FROM extracted_rows",
+    "w6_fill": "SELECT row_id, last_value(unit IGNORE NULLS) OVER (PARTITION BY mpn, page_num, symbol ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit_filled FROM extracted_rows",
     "w8_context": "SELECT text_row_id, CAST(count(*) OVER w AS INTEGER) AS n_lines, CAST(sum(n_words) OVER w AS BIGINT) AS words FROM text_rows WINDOW w AS (PARTITION BY mpn, page_num ORDER BY text_row_id ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)",
     "w9_last_loaded": "SELECT mpn, arg_max(part_id, CAST(epoch_us(loaded_at) AS DOUBLE) * 1e3 + part_id) AS part_id, count(*) AS n FROM parts GROUP BY mpn",
 }

@@ -104,12 +104,12 @@ def h13_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h11_staged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loss.staged_pairs(_records(spark, sf_dir), _point(spark), keep=300).select("sw", "cond", "n", F.round("p", 6).alias("p"))
+    return loss.staged_pairs(_records(spark, sf_dir), _point(spark)).select("sw", "cond", "n", F.round("p", 6).alias("p"))
 
 
 def w3_top_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = loss.rank_high_side(_records(spark, sf_dir), _point(spark))
-    return loss.cheapest(r.filter("n = 1"), "p_total", 50).select("pk", F.round("p_total", 6).alias("p_total"))
+    return loss.cheapest(r.filter("n = 1"), "p_total", 5000).select("pk", F.round("p_total", 6).alias("p_total"))
 
 
 QUERIES = {f.__name__: f for f in (f5_vds_window, f7_preselect, f13_self_turn_on, f15_foms, f16_gate_charge, f17_violations, f18_catalogue, h1_operating_point, h4_coss_loss, h5_hs_loss, h6_lcsi_times, h7_ls_loss, h10_hs_ranking, h12_ls_ranking, h13_report, h11_staged_pairs, w3_top_losses)}
@@ -182,12 +182,12 @@ SQL = {
         round(ls.p_cl + ls.p_coss + ls.p_gd + ls.p_dt + ls.p_rr, 6) AS p_ls, round(ls.p_cl / 2 * 0.9 + 2 * ls.p_coss + 2 * ls.p_gd + ls.p_dt + 2 * ls.p_rr, 6) AS p_ls_2 FROM hs JOIN ls ON hs.pk = ls.pk""",
     "h11_staged_pairs": f"""{_ALL}, {_PRE}, {_TIMES.format(src='pre')}, {_HS},
       b AS (SELECT pk, id, io_max, p_cl, p_sw, p_gd, p_coss, p_sw + p_gd + p_coss AS a, p_cl + p_gd + p_coss AS c FROM hs WHERE p_cl + p_coss + p_gd + p_sw IS NOT NULL),
-      s0 AS (SELECT * FROM b ORDER BY a, pk LIMIT 300), c0 AS (SELECT * FROM b ORDER BY c, pk LIMIT 300),
+      s0 AS (SELECT * FROM b ORDER BY a, pk LIMIT 5000), c0 AS (SELECT * FROM b ORDER BY c, pk LIMIT 5000),
       s AS (SELECT pk AS sw, id AS sid, a, p_cl / 2 * 0.9 + p_sw + 2 * (p_gd + p_coss) AS s2 FROM s0 WHERE p_sw <= 6 * (SELECT min(p_sw) FROM s0)),
       c1 AS (SELECT pk AS cond, k.n, id AS cid, io_max, CASE WHEN k.n = 1 THEN p_cl ELSE p_cl / k.n * 0.9 END AS sh, p_sw, p_gd + p_coss AS g FROM c0 CROSS JOIN (SELECT CAST(1 AS INTEGER) AS n UNION ALL SELECT CAST(2 AS INTEGER)) k),
       p AS (SELECT sw, cond, n, a + sh + n * g AS p, s2, sh / 2 * 0.9 + p_sw + 2 * n * g AS c2 FROM s CROSS JOIN c1 WHERE coalesce(NOT (sid < 1.2 * io_max), true) AND coalesce(NOT (cid * n < 1.2 * io_max), true)),
       q AS (SELECT *, min(p) OVER () AS best, min(p) OVER (PARTITION BY sw) AS sbest FROM p)
       SELECT sw, cond, n, round(p, 6) AS p FROM q WHERE p < 2 * best AND p < 1.5 * sbest AND p < s2 AND p < c2""",
     "w3_top_losses": f"""{_ALL}, {_PRE}, {_TIMES.format(src='pre')}, {_HS}
-      SELECT pk, round(p_cl + p_coss + p_gd + p_sw, 6) AS p_total FROM hs WHERE {_ID.format(1)} ORDER BY CASE WHEN p_cl + p_coss + p_gd + p_sw > 0 THEN p_cl + p_coss + p_gd + p_sw ELSE 9e9 END, pk LIMIT 50""",
+      SELECT pk, round(p_cl + p_coss + p_gd + p_sw, 6) AS p_total FROM hs WHERE {_ID.format(1)} ORDER BY CASE WHEN p_cl + p_coss + p_gd + p_sw > 0 THEN p_cl + p_coss + p_gd + p_sw ELSE 9e9 END, pk LIMIT 5000""",
 }

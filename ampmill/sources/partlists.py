@@ -114,7 +114,7 @@ def vendor_csv(spark: SparkSession, vendor: str, path: str) -> DataFrame:
 
 def grid_json(spark: SparkSession, path: str, mfr: str = "st") -> DataFrame:
     """A column/row grid (A5): cells joined to their columns' names, tags stripped, pivoted to records."""
-    s = T.StructType().add("columns", "array<struct<id:string,name:string>>").add("rows", "array<struct<cells:array<struct<columnId:string,value:string>>>>")
+    s = "columns array<struct<id:string,name:string>>, rows array<struct<cells:array<struct<columnId:string,value:string>>>>"
     d = spark.read.schema(s).json(path, multiLine=True).withColumn("file", F.input_file_name())
     names = d.select("file", F.explode("columns").alias("c")).select("file", F.col("c.id").alias("column"), F.regexp_replace("c.name", "<!--.*?-->|<[^>]*>", "").alias("name"))
     cells = d.select("file", F.posexplode("rows").alias("row", "r")).select("file", "row", F.explode("r.cells").alias("c")).select("file", "row", F.col("c.columnId").alias("column"), "c.value")
@@ -136,7 +136,7 @@ def embedded_json_html(spark: SparkSession, path: str) -> DataFrame:
 def brand_json(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a brand interface (A13): parameter lists become records; p-channel voltages negative; milliohms given as ohms put right."""
     item = "struct<brandNameEn:string,productModel:string,productNameEn:string,pdfUrl:string,encapStandard:string,paramVOList:array<struct<paramNameEn:string,paramValueEnForSearch:double>>>"
-    d = spark.read.schema(T.StructType().add("result", f"struct<dataList:array<{item}>>")).json(path, multiLine=True)
+    d = spark.read.schema(f"result struct<dataList:array<{item}>>").json(path, multiLine=True)
     r = d.select(F.explode("result.dataList").alias("r")).select("r.*")
     params = F.map_from_entries(F.filter(F.transform(F.coalesce("paramVOList", F.array().cast("array<struct<paramNameEn:string,paramValueEnForSearch:double>>")), lambda p: F.struct(p["paramNameEn"].alias("k"), p["paramValueEnForSearch"].alias("v"))), lambda e: e["k"].isNotNull()))
     get = lambda k: F.nullif(F.try_element_at(F.col("p"), F.lit(k)), F.lit(0.0))
