@@ -21,7 +21,8 @@ from ampmill.session import materialize
 PRIOR = -4.0
 #: A sibling differs in voltage class or version alone, which are as often another part as a misprint.
 NUMBER = {"same": 8.0, "cut": 3.5, "edit": 2.0, "sibling": -4.0}
-MAKER = (4.0, -9.0)
+#: Of makers the third holds where both are entries of the reference list: then they are surely two.
+MAKER = (4.0, -9.0, -25.0)
 VOLTAGE = (1.5, -5.0)
 RESISTANCE, CURRENT, CHARGE = (2.5, 0.5, -3.5), (1.5, 0.3, -2.5), (1.5, 0.3, -1.5)
 PACKAGE = (1.5, -1.5)
@@ -117,7 +118,7 @@ def candidate_pairs(parts: DataFrame, listings: DataFrame, canon: DataFrame) ->
     a, b = _confused(F.col("l_number")), _confused(F.col("p_number"))
     number = F.when(a == b, NUMBER["same"]).when(b.startswith(a) | a.startswith(b), NUMBER["cut"]).when((F.length(a) == F.length(b)) & (F.left(a, F.length(a) - 3) == F.left(b, F.length(b) - 3)), NUMBER["sibling"]).otherwise(NUMBER["edit"])
     near = (F.levenshtein("l_maker", "p_maker") <= F.length("p_maker") * 0.3) & ~F.col("l_maker").startswith("#") & ~F.col("p_maker").startswith("#")
-    maker = F.when(F.col("l_maker").isNull() | F.col("p_maker").isNull(), 0.0).when((F.col("l_maker") == F.col("p_maker")) | near, MAKER[0]).otherwise(MAKER[1])
+    maker = F.when(F.col("l_maker").isNull() | F.col("p_maker").isNull(), 0.0).when((F.col("l_maker") == F.col("p_maker")) | near, MAKER[0]).when(F.col("l_maker").startswith("#") & F.col("p_maker").startswith("#"), MAKER[2]).otherwise(MAKER[1])
     volt_score = F.when(F.col("l_v").isNull() | F.col("p_v").isNull(), 0.0).when(F.abs(F.col("l_v") / F.col("p_v") - 1) < 0.02, VOLTAGE[0]).otherwise(VOLTAGE[1])
     package = F.when(F.col("l_package").isNull() | (F.size("p_packages") == 0), 0.0).when(F.array_contains("p_packages", F.col("l_package")), PACKAGE[0]).otherwise(PACKAGE[1])
     prior = PRIOR + number + maker + volt_score + package + _ratio("l_r", "p_r", 1.04, 1.2, RESISTANCE) + _ratio("l_i", "p_i", 1.04, 1.2, CURRENT) + _ratio("l_q", "p_q", 1.04, 1.3, CHARGE)
