@@ -57,7 +57,7 @@ CHUNKS = re.compile(
             rf"|\b\d{{1,4}} ?(?:bis|ter|quater|[a-zA-Z])?,? {_STREET_FR} {_LINK}{_CAPS}"
             rf"|(?:\b{_CAP} )?\b(?:[A-ZÄÖÜ][\wßäöü\-]*?{_STREET_DE}|(?:Alte|Neue|Große|Kleine|Obere|Untere|Am|An der|Im|Zum|Zur|Auf der|In der) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:\s?[-/–]\s?\d{{1,3}}[a-z]?)?"
             rf"|(?:\b|(?<=\s)){_STREET_ES} {_LINK}{_CAPS},? (?:nº|n°|n\.º|núm\.|No\.)? ?\d{{1,4}} ?[a-z]?\b(?:-\d+)?)",
-            r"(?P<number>\+?\(?\d+(?:(?:\) ?| \(|[ ./\-‑])\d+)+(?:-[A-Z]\b)?|\+\d{8,14}|\b[A-Z]{1,3}\d{5,9}[A-Z]?\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{7,12}(?:-?[A-Z])?\b)",
+            r"(?P<number>(?P<digits>\+?\(?\d+(?:(?:\) ?| \(|[ ./\-‑])\d+)+(?:-[A-Z]\b)?)|\+\d{8,14}|\b[A-Z]{1,3}\d{5,9}[A-Z]?\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{7,12}(?:-?[A-Z])?\b)",
             rf"(?P<word>\b(?:[A-Z]\.(?= ?[A-Z])|{_CAP}))",
         ]
     )
@@ -101,7 +101,8 @@ def nodes_of(text: str) -> list[Node]:
     out = []
     for m in CHUNKS.finditer(text):
         kind, (s, e) = m.lastgroup, m.span()
-        if kind == "number" and sum(map(str.isdigit, m.group())) < 7:
+        # short groups of digits are measurements, dates and the like; a number with letters before it has its own form
+        if m["digits"] and sum(map(str.isdigit, m.group())) < 7:
             continue
         p = text[max(0, s - 40) : s]
         words = p.split()

@@ -210,6 +210,12 @@ def test_personal_information(model):
     assert found(model, text) == {("person", "Anton Wextoral"), ("person", "Beate"), ("phone", "+49 30 23125 444"), ("email", "a.wextoral@mail.example"), ("address", "12 Old Mill Lane"), ("address", "Mühlgasse 7b"), ("id_number", "XK1234567")}
 
 
+@pytest.mark.parametrize("text", ["QQ 52 67 23 B", "QQ895126D", "XK526723"])
+def test_lettered_id_numbers_of_six_digits(model, text):
+    assert [(n.kind, n.text) for n in personal.nodes_of(f"it took 3.51 W, 48 of 297: {text}.") if n.kind == "number"] == [("number", text)]
+    assert found(model, f"My passport no. {text} is new.") == {("id_number", text)}
+
+
 @pytest.mark.parametrize("text", ["d.ost (at) lab.example", "d.ost at lab dot example", "D.Ost@LAB.EXAMPLE", "d.ost+x@eu.lab.example"])
 def test_email_spellings(model, text):
     assert found(model, f"mail {text}, please") == {("email", text)}
