@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampmill.functions.bind import let
+from ampmill.functions.units import number, plain, spellings, unit_beside
 from ampmill.operators import recovery
 
 # Fields that a served part should have, with the range in which a value counts as present.
@@ -90,12 +93,82 @@ def text_values(lines: DataFrame, page: list[str], order: str, symbol: str, valu
     return hit.select(*page, order, symbol, F.col("value_at").alias("value_line"))
 
 
+# Recovery charge as the makers print it, with test conditions, by tag of the maker.
+_N, _DIDT = "[-0-9.]+", r"(?<didt>[0-9.]+)\s*A/[uµμ]s"
+RECOVERY_PATTERNS = {
+    "infineon": rf"(?:Q\s?rr|reverse\srecovery\scharge[\s()0-9]+Q|Qrr\s+Reverse\s+Recovery\s+Charge)\s+(?:(?<min>{_N})\s+)?(?<typ>{_N})\s+(?<max>{_N})\s*(?<unit>nC)",
+    "ti": rf"Qrr\nReverse Recovery Charge\nVDS=\s*(?<vds>[0-9.]+)\s*V,\s*IF\s*=\s*(?<if>[0-9.]+)\s*A,\ndi/dt\s*=\s*{_DIDT}\n(?<typ>[0-9.]+)\n(?<unit>nC)",
+    "ao": r"Qrr\s+(?<typ>[0-9.]+)\s+(?<unit>nC)",
+    "onsemi": rf"(?:IF =\s*(?<if>[0-9.]+)\s*A, di/dt =\s*{_DIDT}\s[\s\S]{{4,20}})?(?:Qrr\s+Reverse[-\s]Recovery Charge|Reverse[−\s]Recover[edy]{{1,2}}\s+Charge\s+QRR)\s+(?:ISD = (?<if2>[0-9.]+)\s*A, dISD/dt = {_DIDT.replace('didt', 'didt2')}\s+)?(?:(?<min>{_N})\s+)?(?<typ>{_N})\s+(?:(?<max>{_N})\s+)?(?<unit>nC)",
+    "nxp": rf"Qrr?\s+recovered\s+charge\s+(?:IS = (?<if>[0-9.]+) A; dIS/dt = (?<didt>{_N}) A/[uµμ]s;\s+VGS = [0-9.]+ V;\s+VDS = (?<vds>[0-9.]+) V(?:;\s+Tj = {_N} °C;?)?[\s\S]{{0,20}}\s+)?(?<min>{_N})\s+(?<typ>{_N})\s+(?<max>{_N})\s+(?<unit>nC)",
+    "st": rf"Qrr\s+Reverse\s+recovery\s+charge\s+(?<min>{_N})\s+(?<typ>{_N})\s+(?:(?<max>{_N})\s+)?(?<unit>nC)",
+    "toshiba": r"trr\nQrr\nTest Condition\n[^\n]*\n[^\n]*(?:\n[^\n]*)?\n[^\n]*IDR = (?<if>[0-9.]+) A,\s+VGS = [0-9.]+ V,?\s+-dIDR/dt = (?<didt>[0-9.]+) A/[uµμ]s\s*\n"
+    + r"\n".join(rf"{head}\n(?:{_N}\n)?{_N}\n{_N}\n[0-9.]+\n(?<{name}>[0-9.]+)" for head, name in (("Min", "min"), ("Typ.", "typ"), ("Max", "max")))
+    + r"\nUnit\nA\nV\nns\n(?<unit>nC)",
+    "diodes": rf"I[FS] = (?<if>[0-9.]+)A, di/dt = {_DIDT}\s*\n(?:Body Diode\s+)?Reverse Recovery Charge\s*\nQRR\s*\n(?<min>{_N})\s*\n(?<typ>{_N})\s*\n(?<max>{_N})\s*\n(?<unit>nC)",
+    "vishay": rf"I[FSM]{{1,2}}\s*=\s*(?<if>[0-9.]+)\s*A,?\s+di/dt\s*=\s*{_DIDT},?[\s\S]{{0,60}}\n(?:Body Diode\s+)?Reverse Recovery Charge\s*\nQRR\s*\n(?<min>{_N})\s*\n(?<typ>{_N})\s*\n(?<max>{_N})\s*\n(?<unit>[nμ]C)",
+    "epc": rf"QRR\nSource-Drain Recovery Charge\n(?<typ>{_N})",
+    "mcc": rf"Qrr\n(?<typ>{_N})\s*\n(?:(?<unit>nC)|IF=\s*(?<if>[0-9.]+)\s*A,di/dt=\s*{_DIDT})",
+}
+_ASSIGNED = r"[\p{L}/()]+ ?(?:\([^)]*\))?\s*=\s*(?:[-+]?[\d.,]+(?:[eE][-+]?\d+)?\s*(?:[a-zA-Zμ°Ω%]+(?:/[a-zA-Zμ]+)?)?|[\p{L}]+)(?=[,;\s)]|$),?"
+
+
+def _charges() -> tuple[str, Column]:
+    """Pattern of all spellings of a charge, and a map from spelling to its size in nC."""
+    known = {s: round(f / 1e-9, 6) for q, s, f, _ in spellings() if q == "charge"}
+    return "|".join(sorted(map(re.escape, known), key=lambda s: (-len(s), s))), F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+
+
 def recovery_rows(text: Column) -> Column:
-    """Struct (qrr, i_f, didt, vr) of a recovery line with its test conditions, null where it has no charge (C20)."""
-    num = lambda name: F.nullif(F.regexp_extract(text, rf"(?i)\b{name}\s*=\s*([\d.]+)", 1), F.lit("")).try_cast("double")
-    rest = F.regexp_replace(text, r"[\w/]+\s*=\s*[\d.]+\s*[A-Za-zμ/]*,?", "")
-    q = F.nullif(F.regexp_extract(rest, r"(?i)\bq\s?rr\b.*?([\d.]+)", 1), F.lit("")).try_cast("double")
-    return F.when(q.isNotNull(), F.struct(q.alias("qrr"), num("I[FS]").alias("i_f"), num("di[FS]?/dt").alias("didt"), num("V[RD]D?").alias("vr")))
+    """Struct (vmin, vtyp, vmax, unit, i_f, didt, vr) of a recovery line with its test conditions, null where it has no charge (C20).
+
+    Values are in nC, whatever each cell's unit; a cell without one has the line's, and a line without
+    any is in nC. unit is the line's as printed, null if it has none. Of two cells the first is typical
+    and the second the maximum, also where the first is a mark for none; a single one is typical.
+    """
+    units, size = _charges()
+    unit = rf"(?:{units})(?![\p{{L}}\p{{N}}/(])"
+    figure = r"(?:(?:[<>≤≥~±]|\+/?-|\+)\s?)*-?(?:\d+(?:[.,]\d+)*|[.,]\d+)(?:[eE][-+]?\d+)?"
+    cell = rf"(?<![^\s;])(?:{figure}(?: ?{unit})?|\p{{Pd}}{{1,3}}|~|(?i:n/a))(?![^\s;,|])"
+
+    def read(o: Column) -> Column:
+        rest = F.regexp_replace(o["line"], _ASSIGNED, " ; ")
+        tail = F.regexp_extract(rest, r"(?i)\bq\s?rr\b(.*)$", 1)
+        return let(values, line=o["line"], cells=F.slice(F.regexp_extract_all(tail, F.lit(cell), F.lit(0)), 1, 3), unit=F.try_element_at(F.regexp_extract_all(rest, F.lit(rf"(?:(?<=[\d\s(\[~\p{{Pd}}]))({unit})"), F.lit(1)), F.lit(-1)))
+
+    def values(o: Column) -> Column:
+        charge = F.transform(o["cells"], lambda c: F.round(number(c) * F.coalesce(F.try_element_at(size, F.coalesce(F.nullif(unit_beside(c), F.lit("")), o["unit"])), F.lit(1.0)), 9))
+        n = F.size(o["cells"])
+        get = lambda i: F.get(charge, i)
+        num = lambda name: number(F.regexp_extract(o["line"], rf"(?i)\b{name}\s*=\s*([-+\d.,]+(?:e[-+]?\d+)?)", 1))
+        out = F.struct(get(F.when(n == 3, 0).otherwise(3)).alias("vmin"), get(F.when(n == 3, 1).otherwise(0)).alias("vtyp"), get(F.when(n == 3, 2).otherwise(1)).alias("vmax"), o["unit"].alias("unit"), num("I[FS]D?").alias("i_f"), num("di[FS]?D?/dt").alias("didt"), num("V[RD][DS]?").alias("vr"))
+        return F.when(F.exists(charge, lambda x: x.isNotNull()), out)
+
+    return F.when(plain(text).rlike(r"(?i)\bq\s?rr\b"), let(read, line=plain(text)))
+
+
+def vendor_recovery(lines: DataFrame, page: list[str], order: str, tag: str) -> DataFrame:
+    """(order, vmin, vtyp, vmax, unit, i_f, didt, vr) of the charges that a maker's own pattern finds over the lines of a page, at the line each begins on (C20).
+
+    tag is the maker's; a charge that begins within one found before is the same.
+    """
+    names = ("all", "min", "typ", "max", "unit", "if", "if2", "didt", "didt2", "vds")
+    rules = []
+    for name, p in RECOVERY_PATTERNS.items():
+        whole = rf"(?i)\A[^\n]*?(?<all>{p})"
+        at = re.compile(re.sub(r"\(\?<(?=\w)", "(?P<", whole)).groupindex
+        rules.append((name, whole, [at.get(n) for n in names]))
+    rule = lines.sparkSession.createDataFrame(rules, "rule_tag string, pattern string, groups array<int>")
+    w = Window.partitionBy(*page).orderBy(order)
+    known = lines.filter(F.col(tag).isin(*RECOVERY_PATTERNS)).withColumn("at", F.row_number().over(w)).withColumn("ahead", F.array_join(F.collect_list("text").over(w.rowsBetween(0, 39)), "\n"))
+    hit = known.join(F.broadcast(rule), F.col(tag) == F.col("rule_tag")).filter("ahead rlike pattern")
+    hit = hit.select(*page, order, "at", *[F.expr(f"nullif(regexp_extract(ahead, pattern, groups[{i}]), '')").alias(f"g_{n}") for i, n in enumerate(names)])
+    hit = hit.withColumn("before", F.max(F.col("at") + F.length(F.regexp_replace("g_all", r"[^\n]", ""))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    num = lambda n: F.col(f"g_{n}").try_cast("double")
+    factor = F.when(F.col("g_unit") == "μC", 1e3).otherwise(1.0)
+    return hit.filter("before is null or before < at").select(
+        order, *[(num(k) * factor).alias(f"v{k}") for k in ("min", "typ", "max")], F.col("g_unit").alias("unit"), F.coalesce(num("if"), num("if2")).alias("i_f"), F.coalesce(num("didt"), num("didt2")).alias("didt"), num("vds").alias("vr")
+    )
 
 
 def json_fields(docs: DataFrame, id_col: str, col: str) -> DataFrame:

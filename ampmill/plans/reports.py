@@ -49,8 +49,10 @@ def c19_text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c20_recovery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = quality.recovery_rows(F.col("text"))
-    return table(spark, sf_dir, "text_rows").select("text_row_id", r.alias("r")).filter("r is not null").select("text_row_id", "r.*")
+    t = table(spark, sf_dir, "text_rows").select("text_row_id", "mpn", "page_num", "text", tx.maker_tag(F.col("mfr")).alias("tag"))
+    own = quality.vendor_recovery(t, ["mpn", "page_num"], "text_row_id", "tag")
+    r = t.select("text_row_id", quality.recovery_rows(F.col("text")).alias("r")).filter("r is not null").select("text_row_id", "r.*")
+    return r.join(own.select("text_row_id"), "text_row_id", "left_anti").unionByName(own)
 
 
 def w11_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

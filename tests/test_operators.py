@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ampmill.operators import catalogue, curves, loss, magnetics, recovery, specs
+from ampmill.operators import catalogue, curves, loss, magnetics, quality, recovery, specs
 from ampmill.operators import observations as ob
 from ampmill.operators import text as tx
 
@@ -210,3 +210,23 @@ def test_pages(spark):
     box = "page int, id int, bbox struct<x1: double, y1: double, x2: double, y2: double>"
     boxes = spark.createDataFrame([(1, i, tuple(map(float, b))) for i, b in ((1, (0, 0, 10, 10)), (2, (20, 1, 30, 11)), (3, (40, 0, 50, 10)), (4, (20, 100, 30, 110)))], box)
     assert {(r.id, r.other) for r in curves.nearest_in_direction(boxes, ["page"]).collect()} == {(1, 2), (2, 3)}
+
+
+def test_recovery_rows_read_all_cells_and_units(spark):
+    lines = {
+        "Reverse recovery charge Q rr IF=5 A, di/dt=100 A/μs, VR=40 V - 50 71 nC": (None, 50.0, 71.0, "nC", 5.0),
+        "Sperrverzögerungsladung QRR - 0,0177 --- μC": (None, 17.7, None, "μC", None),
+        "Reverse recovery charge (nC) Qrr 1,400 22,2 - VR= 48 V": (1400.0, 22.2, None, "nC", None),
+        "Reverse recovery charge Qrr 0.05μC 0.06 μC 70 nC": (50.0, 60.0, 70.0, "nC", None),
+        "Reverse recovery charge Qrr IF = 5 A": None,
+        "Gate charge Qg 5 nC": None,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, text string").select("id", quality.recovery_rows(F.col("text")).alias("r")).orderBy("id").collect()
+    assert [tuple(r.r)[:5] if r.r else None for r in rows] == list(lines.values())
+
+
+def test_recovery_by_maker(spark):
+    page = ["Qrr", "Reverse Recovery Charge", "VDS= 30 V, IF = 20 A,", "di/dt = 300 A/μs", "44", "nC", "IF = 5 A, di/dt = 100 A/µs VR = 10 V", "Qrr Reverse Recovery Charge - 7 8 nC"]
+    rows = spark.createDataFrame([(i, t, "p", tag) for k, tag in enumerate(("ti", "onsemi", "other")) for i, t in enumerate(page, 10 * k)], "id int, text string, page string, tag string")
+    got = sorted(tuple(r) for r in quality.vendor_recovery(rows, ["page", "tag"], "id", "tag").collect())
+    assert got == [(0, None, 44.0, None, "nC", 20.0, 300.0, 30.0), (16, None, 7.0, 8.0, "nC", 5.0, 100.0, None)]
