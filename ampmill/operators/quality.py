@@ -79,18 +79,106 @@ def tau_exponent(rows: DataFrame, key: str, lo: float = 0.0, hi: float = 5.0) ->
     return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_tau double, points long")
 
 
-def text_values(lines: DataFrame, page: list[str], order: str, symbol: str, values: str, width: int = 12) -> DataFrame:
-    """Values found within width lines after a line that names a symbol (C19): (page, order, symbol, value_line, values).
-
-    The nearest following line with values counts, and a line with another symbol ends the search. All as
-    windows within a page.
+# Quantity of a symbol by its beginning, the first that fits wins.
+_QUANTITIES = [("Rth", "thermal resistance"), ("R", "resistance"), ("Q", "charge"), ("V", "voltage"), ("C", "capacitance"), ("t", "time"), ("I", "current"), ("T", "temperature")]
+# Ordered families of value cells over kinds of tokens: W word, C condition, N number, D mark for none, U unit, L line end, X the next symbol's line.
+_LEAD, _COND, _END = "[WU]*L?(?:W+L){0,3}", "(?:C[WL]*)+", "(?=L|C|W*X|$)"
+FAMILIES = [
+    (name, re.compile(pattern))
+    for name, pattern in [
+        ("mtm_unit", rf"{_LEAD}(?P<min>[ND])U?L?(?P<typ>N)U?L?(?P<max>[ND])L?U{_END}"),
+        ("cond_mtm_unit", rf"{_LEAD}{_COND}(?P<min>[ND])U?L?(?P<typ>[ND])U?L?(?P<max>[ND])L?U{_END}"),
+        ("cond_typ_max_unit", rf"{_LEAD}(?:{_COND})?(?P<typ>N)U?L?(?P<max>[ND])L?U{_END}"),
+        ("cond_max_unit", rf"{_LEAD}(?:{_COND})?(?P<typ>D)L?(?P<max>N)L?U{_END}"),
+        ("mtm_unit_cond", rf"{_LEAD}(?:(?P<min>[ND])U?L?)?(?P<typ>[ND])U?L?(?P<max>[ND])L?UL?C"),
+        ("mtm_cond_next", rf"{_LEAD}(?P<min>[ND])U?L?(?P<typ>N)U?L?(?P<max>[ND])U?L?{_COND}X"),
+        ("cond_typ_next", rf"{_LEAD}{_COND}(?P<typ>N)U?L?X"),
+        ("typ_max_unit", rf"{_LEAD}(?:{_COND})?(?P<typ>N)U?L?(?P<max>[ND])U?{_END}"),
+        ("typ_next", rf"{_LEAD}(?P<min>D)L(?P<typ>N)L(?:(?P<max>[ND])L)?X"),
+        ("cond_mtm", rf"{_LEAD}(?:{_COND})?(?P<min>[ND])U?L?(?P<typ>[ND])U?L?(?P<max>[ND])U?{_END}"),
+        ("cond_max", rf"{_LEAD}(?:{_COND})?(?P<typ>D)L?(?P<max>N)U?{_END}"),
+        ("single", rf"{_LEAD}(?:{_COND})?(?P<typ>N)L?U?{_END}"),
+    ]
+]
+_SIZES: dict[str, dict[str, float]] = {}
+for _q, _s, _f, _ in spellings():
+    _SIZES.setdefault(_q, {})[_s] = _f
+_UNIT = {q: "(?:" + "|".join(sorted(map(re.escape, s), key=lambda x: (-len(x), x))) + r")(?![^\W_]|[/(])" for q, s in _SIZES.items()}
+_FIGURE = r"(?:(?:[<>≤≥~±]|\+/?-|\+) ?)*(?P<n>-?(?:\d+(?:[.,]\d+)*|[.,]\d+)(?:[eE][-+]?\d+)?)"
+_CONDITION = r"[^\W\d_][\w/]*(?: ?\([^)]*\))? ?= ?(?:[-+]?[\d.,]+(?:[eE][-+]?\d+)? ?(?:[a-zA-Zμ°Ω%]+(?:/[a-zA-Zμ]+)?)?|[^\W\d_]+)(?=[,; )\n]|$)[,;]?"
+_TOKENS = {q: re.compile(rf"(?P<C>{_CONDITION})|(?P<N>{_FIGURE}(?= ?{u}|[\s,;|()]|$))|(?P<D>(?:-{{1,3}}|[~—–]|(?i:n/a))(?= |\n|$))|(?P<U>{u})|(?P<L>\n)|(?P<W>[^\s,;|()]+)|[\s,;|()]") for q, u in _UNIT.items()}
+
+
+def _figure(x: str) -> float | None:
+    x = x.replace(",", "") if re.fullmatch(r"-?\d{1,3}(,\d{3})+(\.\d+)?", x) else x.replace(",", ".")
+    try:
+        return float(x)
+    except ValueError:
+        return None
+
+
+def parse_values(symbol: str, lines: list[str], followed: bool) -> tuple | None:
+    """(line, vmin, vtyp, vmax, unit, cond, family, consumed) of the first family that fits the lines behind a symbol; followed: another symbol's line comes next."""
+    quantity = next((q for start, q in _QUANTITIES if symbol.startswith(start)), None)
+    if quantity is None:
+        return None
+    found = [m for m in _TOKENS[quantity].finditer("\n".join(lines)) if m.lastgroup]
+    kinds = "".join("N" if m["N"] else m.lastgroup for m in found)
+    kinds += "LX" if followed else ""
+    for name, family in FAMILIES:
+        m = family.match(kinds)
+        if not m:
+            continue
+        spans = {k: m.start(k) for k in m.groupdict() if m[k] == "N"}
+        if not spans:
+            continue
+        last = max(spans.values())
+        used = [t.group() for t, k in zip(found, kinds) if k == "U"]
+        unit = used[-1] if used else None
+        sizes, out = _SIZES[quantity], {}
+        for k, i in spans.items():
+            own = found[i + 1].group() if kinds[i + 1 : i + 2] == "U" else unit
+            v = _figure(found[i]["n"])
+            # cells of one line may differ in unit: all come out in the last one
+            out[k] = v if own == unit or v is None else float(f"{v * sizes[own] / sizes[unit]:.12g}")
+        cond = ", ".join(t.group().rstrip(",;") for t in found if t.lastgroup == "C")
+        return kinds[:last].count("L"), out.get("min"), out.get("typ"), out.get("max"), unit, cond or None, name, m.group().count("L")
+    return None
+
+
+def text_values(lines: DataFrame, page: list[str], order: str, symbol: str, text: str, width: int = 12) -> DataFrame:
+    """Values in the width lines from one that names a symbol (C19): (page, order, symbol, value_line, vmin, vtyp, vmax, unit, cond, family).
+
+    The ordered families decide; a line with another symbol ends the window, and reading goes on after the
+    lines consumed. Their state runs through a page: one Arrow-batched map over pages.
     """
-    w = Window.partitionBy(*page).orderBy(order)
-    n = lines.withColumn("at", F.row_number().over(w))
-    ahead = w.rowsBetween(0, width - 1)
-    n = n.withColumn("value_at", F.min(F.when(F.col(values).isNotNull(), F.col("at"))).over(ahead)).withColumn("next_symbol", F.min(F.when(F.col(symbol).isNotNull(), F.col("at"))).over(w.rowsBetween(1, width - 1)))
-    hit = n.filter(F.col(symbol).isNotNull() & F.col("value_at").isNotNull() & (F.col("next_symbol").isNull() | (F.col("value_at") < F.col("next_symbol"))))
-    return hit.select(*page, order, symbol, F.col("value_at").alias("value_line"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(symbol).alias("s"), plain(F.col(text)).alias("t"))))
+    fields = "o long, symbol string, value_line long, vmin double, vtyp double, vmax double, unit string, cond string, family string"
+    names = [*page, *[f.split()[0] for f in fields.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, ls in zip(zip(*[pdf[c] for c in page]), pdf["rows"]):
+                i = 0
+                while i < len(ls):
+                    s, step = ls[i]["s"], 1
+                    if s is not None:
+                        end = i + 1
+                        # a name's line may be followed by the same symbol's own line
+                        if end < len(ls) and ls[end]["s"] == s and not re.search(r"\d|=", ls[i]["t"] or ""):
+                            end += 1
+                        while end < min(len(ls), i + width) and ls[end]["s"] is None:
+                            end += 1
+                        got = parse_values(s, [x["t"] or "" for x in ls[i:end]], end < len(ls) and ls[end]["s"] is not None)
+                        if got:
+                            out.append((*key, ls[i]["o"], s, i + 1 + got[0], *got[1:7]))
+                            step = max(1, got[7] - 1)
+                    i += step
+            yield pd.DataFrame(out, columns=names)
+
+    keys = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in page)
+    return lines.groupBy(*page).agg(rows.alias("rows")).mapInPandas(run, f"{keys}, {fields}").withColumnRenamed("o", order)
 
 
 # Recovery charge as the makers print it, with test conditions, by tag of the maker.

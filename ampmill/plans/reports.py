@@ -44,8 +44,8 @@ def h21_tau_exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c19_text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "text_rows").select("mpn", "page_num", "text_row_id", tx.detect_symbol(F.col("text")).alias("symbol"), F.when(F.col("text").rlike(r"\d\s+(?:nC|mΩ|V|pF|ns|A)\b"), F.col("text")).alias("values"))
-    return quality.text_values(t, ["mpn", "page_num"], "text_row_id", "symbol", "values")
+    t = table(spark, sf_dir, "text_rows").select("mpn", "page_num", "text_row_id", "text", tx.detect_symbol(F.col("text")).alias("symbol"))
+    return quality.text_values(t, ["mpn", "page_num"], "text_row_id", "symbol", "text")
 
 
 def c20_recovery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

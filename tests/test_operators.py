@@ -230,3 +230,16 @@ def test_recovery_by_maker(spark):
     rows = spark.createDataFrame([(i, t, "p", tag) for k, tag in enumerate(("ti", "onsemi", "other")) for i, t in enumerate(page, 10 * k)], "id int, text string, page string, tag string")
     got = sorted(tuple(r) for r in quality.vendor_recovery(rows, ["page", "tag"], "id", "tag").collect())
     assert got == [(0, None, 44.0, None, "nC", 20.0, 300.0, 30.0), (16, None, 7.0, 8.0, "nC", 5.0, 100.0, None)]
+
+
+@pytest.mark.parametrize(
+    ("symbol", "lines", "want"),
+    [
+        ("Qgs", ["Gate-source charge Qgs VDS= 48 V, ID= 20 A --- 3.13nC 4.14 nC"], (0, None, 3.13, 4.14, "nC", "VDS= 48 V, ID= 20 A")),
+        ("RthJC", ["Thermal resistance, junction to case Rthjc --- 0.26 - deg C/W"], (0, None, 0.26, None, "deg C/W", None)),
+        ("Ciss", ["Input capacitance CISS --- 0.0012 μF 1500pF", "Soldering profile: reflow at 2 °C"], (0, None, 1200.0, 1500.0, "pF", None)),
+        ("Coss", ["Output capacitance", "Coss", "-", "236", "-"], (3, None, 236.0, None, None, None)),
+    ],
+)
+def test_text_values_by_family(symbol, lines, want):
+    assert quality.parse_values(symbol, lines, True)[:6] == want
