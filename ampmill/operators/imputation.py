@@ -1,16 +1,21 @@
 """Problem 1: filling missing values from similar records, with provenance.
 
 Method: functional dependencies (a set of attributes that determines a field) are mined and verified on
-the complete records; the dictionaries of the verified ones are joined to the gaps; gaps that no
-dictionary knows get the middle value of a group of comparable records. Every value says how it came.
+the complete records; the dictionaries of the verified ones are left-joined to the gaps; gaps that no
+verified dictionary knows get the middle value of the closest group of comparable records, the groups
+being ranked by how little their members differ. Every value says how it came.
 
-One pass over the records explodes each into one row per candidate determinant and aggregates them all
-together (map-side first), so mining costs one shuffle of partial aggregates, not one per candidate.
+Plan: one row per record holds the keys of all determinants, as hashes. Mining explodes the keys once
+and combines on the map side; which determinants are verified is one row each. For filling, dictionaries
+of a checked size and the hot keys (whose number is bounded) are broadcast, so that most gaps are filled
+without a shuffle of their keys; only the cold keys of the large dictionaries are joined by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampmill.functions.mpn import base_mpn, series, voltage_code
@@ -21,16 +26,23 @@ from ampmill.session import materialize
 CONFIDENCE = 0.9
 #: Numbers within this ratio of each other agree.
 TOLERANCE = 1.05
-#: Hot determinant keys are split in this many parts when joined.
-SALT = 16
+#: Numbers count as this at least where logarithms are summed; a middle that small is 0.
+LEAST = 1e-12
+#: Dictionaries of up to this many rows (60 bytes each) are broadcast.
+BROADCAST_ROWS = 50_000
+#: A key of more than one in this many records is hot: there are at most so many hot keys, and they are broadcast.
+HOT_SHARE = 2_000
 
-#: Candidate determinants, from the most specific on; each is tried for every field.
+#: Candidate determinants; each is tried for every field that isn't among its attributes.
 DETERMINANTS: dict[str, list[str]] = {
     "base": ["base"],
     "series,voltage": ["series", "voltage"],
     "series,substrate": ["series", "substrate"],
     "maker,substrate,voltage,housing": ["maker", "substrate", "voltage", "package"],
     "maker,substrate,voltage": ["maker", "substrate", "voltage"],
+    "substrate,threshold": ["substrate", "threshold"],
+    "substrate,voltage,resistance": ["substrate", "voltage", "resistance"],
+    "substrate,voltage,resistance,charge": ["substrate", "voltage", "resistance", "charge"],
     "substrate,voltage,housing": ["substrate", "voltage", "package"],
     "substrate,voltage,month": ["substrate", "voltage", "month"],
     "substrate,voltage": ["substrate", "voltage"],
@@ -39,6 +51,9 @@ DETERMINANTS: dict[str, list[str]] = {
 }
 FIELDS = ("Qrr", "V_pl", "housing")
 
+# Words around a housing's name that say nothing about it.
+HOUSING_WORDS = r"\b(tape (and )?reel|reel|tray|package|pkg|case|gehäuse|gehause|gehaeuse|boîtier|boitier|encapsulado|mm)\b"
+
 
 def usable(field: str) -> Column:
     """Whether a cell holds a usable value; never null.
@@ -54,97 +69,202 @@ def usable(field: str) -> Column:
     return F.coalesce(~F.isnan(q) & (q >= 0) & (q <= 200e-6) & ((q > 0) | (F.lower(F.trim("substrate")) == "gan")), F.lit(False))
 
 
-def _attributes(parts: DataFrame) -> DataFrame:
+def housing_form(col: Column) -> Column:
+    """A housing's spelling without case, entities, separators and filler words, so that typed spellings of one name meet."""
+    text = F.regexp_replace(F.regexp_replace(F.lower(col), r"&times;|&#215;|×", "x"), r"&(#82\d\d|[nm]dash|minus|nbsp|#160|amp);", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}.]+|\.(?!\d)", " "), HOUSING_WORDS, " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\bt0(?=[ \d])", "to"), " ", "")
+
+
+def _attributes(parts: DataFrame, canon: DataFrame | None) -> DataFrame:
+    """One row per record with its usable values, its canonical housing, and its keys; narrow but for the broadcast list."""
     base = base_mpn(F.col("mpn"))
-    return parts.select(
+    ranked = lambda name: F.col(name) if name in parts.columns else F.lit(None).cast("double")
+    step = lambda name, per: F.round(F.log(F.when(ranked(name) > 0, ranked(name))) * per).cast("string")
+    rows = parts.select(
         "part_id",
         *[F.when(usable(f), F.col(f)).alias(f) for f in FIELDS],
-        F.upper(F.trim("mpn")).alias("order_number"),
+        F.xxhash64(F.upper(F.trim("mpn"))).alias("order_number"),
         base.alias("base"),
         F.nullif(series(base), F.lit("")).alias("series"),
         F.coalesce(F.nullif(voltage_code(base), F.lit("")), F.abs(F.round("Vds_max", -1)).cast("string")).alias("voltage"),
         F.lower(F.trim("substrate")).alias("substrate"),
         F.substring(base, 1, 2).alias("maker"),
-        F.when(usable("housing"), F.lower(F.regexp_replace("housing", r"[^\p{L}\p{N}]", ""))).alias("package"),
         F.date_format("observed_at", "yyyy-MM").alias("month"),
+        F.round(ranked("Vgs_th"), 1).cast("string").alias("threshold"),
+        step("Rds_on_max", 5).alias("resistance"),
+        step("Qg", 5).alias("charge"),
     )
+    rows = rows.withColumn("form", F.nullif(housing_form(F.col("housing")), F.lit("")))
+    if canon is not None:
+        # the planner broadcasts the list by its measured size, or shuffles by form
+        names = canon.filter("kind = 'housing'").select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("alias"))
+        names = names.groupBy(housing_form(F.col("alias")).alias("form")).agg(F.min("name").alias("name"))
+        rows = rows.join(names, "form", "left")
+        rows = rows.withColumn("package", F.coalesce("name", "form")).withColumn("spelled", F.coalesce("name", "housing"))
+    else:
+        rows = rows.withColumn("package", F.col("form")).withColumn("spelled", F.col("housing"))
+    keys = []
+    for cols in DETERMINANTS.values():
+        there = F.lit(True)
+        for c in cols:
+            there = there & F.col(c).isNotNull()
+        keys.append(F.when(there, F.xxhash64(*cols) if cols else F.lit(0).cast("long")))
+    return rows.select("part_id", *FIELDS, "package", "spelled", "order_number", F.array(*keys).alias("keys"))
+
 
+@dataclass
+class Dependency:
+    """A determinant (its place in DETERMINANTS) as a way to a field, with what mining found."""
 
-def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per record and determinant whose attributes are all there."""
-    keys = [F.struct(F.lit(name).alias("det"), F.concat_ws("\x1f", F.lit(""), *cols).alias("key"), (F.lit(True) if not cols else F.forall(F.array(*cols), lambda c: c.isNotNull())).alias("there")) for name, cols in DETERMINANTS.items()]
-    return rows.select(*keep, F.explode(F.array(*keys)).alias("d")).filter("d.there").select(*keep, "d.det", "d.key")
+    name: str
+    det: int
+    confidence: float
+    verified: bool
 
 
-def mine(attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dictionaries, confidences) from the usable values.
+def _summed(rows: DataFrame) -> DataFrame:
+    """(det, key) with the records' counts, extremes and logarithmic sums of the numbers and the counts of the housings.
 
-    dictionaries: (det, key, field, number, text, support), number the median, text the most frequent
-    spelling; confidences: (det, field, confidence, records), one row per candidate and field.
+    Two combining steps: by housing within the key first, so that a hot key meets in one place only as
+    its distinct housings.
     """
-    exploded = _exploded(attributes, ["order_number", *FIELDS])
-    numbers = exploded.groupBy("det", "key").agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f).alias("field"),
-                    F.percentile_approx(f, 0.5, F.lit(1000)).alias("number"),
-                    F.count(f).alias("support"),
-                    F.coalesce(F.max(f) <= F.min(f) * TOLERANCE, F.lit(False)).alias("agree"),
-                    (F.min(F.when(F.col(f).isNotNull(), F.col("order_number"))) != F.max(F.when(F.col(f).isNotNull(), F.col("order_number")))).alias("plural"),
-                )
-                for f in FIELDS[:2]
-            ]
-        ).alias("f")
-    )
-    numbers = numbers.select("det", "key", F.explode("f").alias("f")).select("det", "key", "f.*").filter("support > 0")
-    numbers = numbers.select("det", "key", "field", "number", F.lit(None).cast("string").alias("text"), "support", F.when(F.col("agree"), F.col("support")).otherwise(0).alias("agreeing"), "plural")
-    # two steps, so that a hot group is counted by value before it meets in one place
-    spelled = exploded.filter("housing is not null").groupBy("det", "key", "housing").agg(F.count(F.lit(1)).alias("n"), F.min("order_number").alias("lo"), F.max("order_number").alias("hi"))
-    same = F.lower(F.regexp_replace("housing", r"[^\p{L}\p{N}]", ""))
-    forms = spelled.groupBy("det", "key", same.alias("form")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "housing")).getField("housing").alias("housing"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    texts = forms.groupBy("det", "key").agg(
-        F.lit("housing").alias("field"),
-        F.lit(None).cast("double").alias("number"),
-        F.max(F.struct("n", "housing")).getField("housing").alias("text"),
-        F.sum("n").alias("support"),
-        F.max("n").alias("agreeing"),
-        (F.min("lo") != F.max("hi")).alias("plural"),
-    )
-    dictionaries = materialize(numbers.unionByName(texts), "dictionaries")
-    many = F.coalesce(F.col("plural"), F.lit(False))
-    confidences = dictionaries.groupBy("det", "field").agg(
-        F.coalesce(F.try_divide(F.sum(F.when(many, F.col("agreeing"))), F.sum(F.when(many, F.col("support")))), F.lit(0.0)).alias("confidence"),
-        F.sum(F.when(many, F.col("support")).otherwise(0)).alias("records"),
-    )
-    return dictionaries.select("det", "key", "field", "number", "text", "support"), confidences
+    exploded = rows.select("order_number", "Qrr", "V_pl", "package", "spelled", F.posexplode("keys").alias("det", "key")).filter("key is not null")
+
+    def numbers(f: str) -> list[Column]:
+        there, log = F.col(f).isNotNull(), F.log(F.greatest(F.col(f), F.lit(LEAST)))
+        number = F.when(there, F.col("order_number"))
+        return [F.count(f).alias(f"{f}_n"), F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"), F.sum(log).alias(f"{f}_s"), F.sum(log * log).alias(f"{f}_ss"), F.min(number).alias(f"{f}_lo"), F.max(number).alias(f"{f}_hi")]
+
+    fine = exploded.groupBy("det", "key", "package").agg(*numbers("Qrr"), *numbers("V_pl"), F.count(F.lit(1)).alias("records"), F.min("spelled").alias("spelled"), F.min("order_number").alias("lo"), F.max("order_number").alias("hi"))
+    again = lambda f: [*[F.sum(f"{f}_{x}").alias(f"{f}_{x}") for x in ("n", "s", "ss")], *[F.min(f"{f}_{x}").alias(f"{f}_{x}") for x in ("min", "lo")], *[F.max(f"{f}_{x}").alias(f"{f}_{x}") for x in ("max", "hi")]]
+    named = F.col("package").isNotNull()
+    return fine.groupBy("det", "key").agg(
+        *again("Qrr"), *again("V_pl"), F.sum("records").alias("records"),
+        F.sum(F.when(named, F.col("records")).otherwise(0)).alias("housing_n"), F.max(F.when(named, F.struct("records", "package", "spelled"))).alias("top"), F.min(F.when(named, F.col("lo"))).alias("housing_lo"), F.max(F.when(named, F.col("hi"))).alias("housing_hi"),
+    )
+
+
+def mine(rows: DataFrame) -> tuple[DataFrame, dict[str, list[Dependency]], dict[int, tuple[int, int]]]:
+    """(dictionaries, ways, sizes) from the usable values.
+
+    dictionaries: (det, key, records, Qrr, Qrr_n, V_pl, V_pl_n, housing, housing_n), the numbers being the one
+    value on which the records agree, or their middle (geometric mean), the housing
+    the most frequent; ways: for each field the determinants in the order in which they are to be asked,
+    verified ones by confidence, then groups by the deviation within them; sizes: by determinant,
+    the keys and the records that have one.
+    """
+
+    def number(f: str) -> Column:
+        middle = F.exp(F.try_divide(F.col(f"{f}_s"), F.col(f"{f}_n")))
+        return F.when(F.col(f"{f}_min") == F.col(f"{f}_max"), F.col(f"{f}_min")).otherwise(F.when(middle >= 2 * LEAST, middle).otherwise(F.when(F.col(f"{f}_n") > 0, 0.0)))
+
+    s = _summed(rows)
+    agreeing = {f: F.when(F.col(f"{f}_max") <= F.col(f"{f}_min") * TOLERANCE, F.col(f"{f}_n")).otherwise(0) for f in FIELDS[:2]} | {"housing": F.coalesce("top.records", F.lit(0))}
+    deviation = {f: F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{f}_ss") - F.try_divide(F.col(f"{f}_s") * F.col(f"{f}_s"), F.col(f"{f}_n")), F.col(f"{f}_n") - 1))) for f in FIELDS[:2]} | {"housing": 1 - F.try_divide(F.coalesce("top.records", F.lit(0)) - 1, F.col("housing_n") - 1)}
+    wide = s.select(
+        "det", "key", "records",
+        *[c for f in FIELDS[:2] for c in (number(f).alias(f), F.col(f"{f}_n"))], F.col("top.spelled").alias("housing"), "housing_n",
+        *[F.struct((F.coalesce(F.col(f"{f}_lo") != F.col(f"{f}_hi"), F.lit(False))).alias("plural"), agreeing[f].alias("agree"), deviation[f].alias("deviation")).alias(f"{f}_of") for f in FIELDS],
+    )
+    wide = materialize(wide, "dictionaries")
+    stats = []
+    for f in FIELDS:
+        n, o = F.col(f"{f}_n"), F.col(f"{f}_of")
+        many = o["plural"]
+        stats += [F.sum(F.when(many, o["agree"])).alias(f"{f}_agree"), F.sum(F.when(many, n)).alias(f"{f}_many"), F.try_divide(F.sum(F.when(many, n * o["deviation"])), F.sum(F.when(many & o["deviation"].isNotNull(), n))).alias(f"{f}_dev"), F.sum(n).alias(f"{f}_all")]
+    # one row per determinant: a constant number
+    found = wide.groupBy("det").agg(F.count(F.lit(1)).alias("rows"), F.sum("records").alias("records"), *stats).collect()
+    names = list(DETERMINANTS)
+    ways: dict[str, list[Dependency]] = {}
+    for f in FIELDS:
+        order = []
+        for r in found:
+            if not r[f"{f}_all"] or f == "housing" and "package" in DETERMINANTS[names[r.det]]:
+                continue
+            many = r[f"{f}_many"] or 0
+            sure = (r[f"{f}_agree"] or 0) / many if many else 0.0
+            verified = sure >= CONFIDENCE and many >= 2
+            far = r[f"{f}_dev"] if r[f"{f}_dev"] is not None else float("inf")
+            # equal ways: the one with fewer rows first in the list of determinants
+            order.append(((not verified, -sure if verified else far, r.det), Dependency(names[r.det], r.det, sure, verified)))
+        ways[f] = [d for _, d in sorted(order, key=lambda x: x[0])]
+        whole = next((i for i, d in enumerate(ways[f]) if d.name == "all"), len(ways[f]))
+        ways[f] = ways[f][: whole + 1]  # that group is there for every record
+    return wide.select("det", "key", "records", *[c for f in FIELDS for c in (f, f"{f}_n")]), ways, {r.det: (r.rows, r.records) for r in found}
+
+
+def _hits(gaps: DataFrame, dictionaries: DataFrame, used: list[int], sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """One row per gap row and determinant that knows it, and one without entry (det -1) for every gap row.
+
+    Dictionaries up to the checked size, and the hot keys of the others (more than one in HOT_SHARE
+    records, hence a bounded number), are broadcast; what is left meets the others' cold keys by shuffle.
+    """
+    entry = F.struct("det", *[c for f in FIELDS for c in (f, f"{f}_n")])
+    small = [d for d in used if sizes[d][0] <= BROADCAST_ROWS]
+    large = [d for d in used if d not in small]
+    keys = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("k")), *[F.struct(F.lit(d).alias("at"), F.col("keys")[d].alias("k")) for d in used])
+    asked = gaps.select("row", "part_id", *FIELDS, F.inline(keys)).filter("k is not null")
+    few, cold = F.col("det").isin(small), None
+    if large:
+        hot = F.col("records") > max(n for _, n in sizes.values()) // HOT_SHARE
+        cold = dictionaries.filter(F.col("det").isin(large) & ~hot).select(F.col("det").alias("cd"), F.col("key").alias("ck"), entry.alias("entry"))
+        few = few | (F.col("det").isin(large) & hot)
+    near = dictionaries.filter(few).select(F.col("det").alias("nd"), F.col("key").alias("nk"), entry.alias("entry"))
+    met = asked.join(F.broadcast(near), (F.col("at") == F.col("nd")) & (F.col("k") == F.col("nk")), "left").drop("nd", "nk")
+    hits = met.filter("entry is not null or at = -1").select("row", "part_id", *FIELDS, "entry")
+    if cold is not None:
+        rest = met.filter(F.col("entry").isNull() & F.col("at").isin(large)).select("row", "at", "k")
+        far = rest.join(cold, (F.col("at") == F.col("cd")) & (F.col("k") == F.col("ck"))).select("row", "entry")
+        hits = hits.unionByName(far, allowMissingColumns=True)
+    return hits
 
 
-def fill_missing(parts: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+def fill_missing(parts: DataFrame, canon: DataFrame | None = None) -> DataFrame:
     """(part_id, field, found, filled, number, text, method, confidence, support): one row per record and field.
 
     found is false where the cell held no usable value. filled marks the values that come from other
     records; method is 'given', 'dependency:<attributes>' (verified), 'group:<attributes>' or 'none'
-    (no record has the field, as in an empty or quite incomplete table; the value stays null).
-    Verified dependencies go first, by confidence, then groups from the most specific on. Nulls in any
-    attribute exclude the determinants that need it. Repeated rows count as records but don't verify a
-    dependency: that takes two different order numbers.
+    (no record has the field, as in an empty or quite incomplete table; the value stays null). canon is
+    the reference list by whose names and aliases housings are compared (and then written by their name
+    there); without it they are compared by spelling. Verified dependencies go first, by confidence,
+    then groups by their deviation. Nulls in any attribute exclude the determinants that need it.
+    Repeated rows are filled each and count as records, but don't verify a dependency: that takes two
+    order numbers. Vgs_th, Rds_on_max and Qg serve where the table has them.
     """
-    attributes = materialize(_attributes(parts), "records")
-    dictionaries, confidences = mine(attributes)
-    order = F.create_map(*[F.lit(x) for i, name in enumerate(DETERMINANTS) for x in (name, i)])
-    verified = (F.col("confidence") >= confidence) & (F.col("records") >= 2)
-    # one row per candidate and field: a constant number, so it is broadcast
-    ranked = confidences.withColumn("verified", verified).withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("verified"), F.when(F.col("verified"), -F.col("confidence")), order[F.col("det")])))
-    dictionaries = dictionaries.join(F.broadcast(ranked), ["det", "field"])
-    gaps = _exploded(attributes, ["part_id", *FIELDS]).select("part_id", "det", "key", F.explode(F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())).alias("field"))
-    salted = gaps.withColumn("salt", F.pmod(F.xxhash64("part_id"), F.lit(SALT)).cast("int"))
-    spread = dictionaries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    best = salted.join(spread, ["det", "key", "field", "salt"]).groupBy("part_id", "field").agg(F.min_by(F.struct("det", "verified", "number", "text", "confidence", "support"), "place").alias("b"))
-    cells = attributes.select("part_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f) if f != "housing" else F.lit(None)).cast("double").alias("number"), (F.col(f) if f == "housing" else F.lit(None)).cast("string").alias("text")) for f in FIELDS])).alias("c"))
-    cells = cells.select("part_id", "c.*").withColumn("found", F.col("number").isNotNull() | F.col("text").isNotNull())
-    given = cells.filter("found").select("part_id", "field", "found", F.lit(False).alias("filled"), "number", "text", F.lit("given").alias("method"), F.lit(1.0).alias("confidence"), F.lit(1).cast("long").alias("support"))
-    method = F.when(F.col("b").isNull(), F.lit("none")).otherwise(F.concat(F.when(F.col("b.verified"), "dependency:").otherwise("group:"), F.col("b.det")))
-    filled = cells.filter("not found").select("part_id", "field", "found").join(best, ["part_id", "field"], "left")
-    filled = filled.select("part_id", "field", "found", F.col("b").isNotNull().alias("filled"), "b.number", "b.text", method.alias("method"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("b.support", F.lit(0)).cast("long").alias("support"))
-    return given.unionByName(filled)
+    # the row's number holds once the table is written
+    rows = materialize(_attributes(parts, canon).withColumn("row", F.monotonically_increasing_id()), "records")
+    dictionaries, ways, sizes = mine(rows)
+    nulls = lambda t: F.lit(None).cast(t)
+    kinds = {"Qrr": "double", "V_pl": "double", "housing": "string"}
+
+    def cell(f: str, method: Column, confidence: Column, support: Column, filled: Column | None) -> Column:
+        there = F.col(f).isNotNull()
+        value = F.col(f) if filled is None else F.coalesce(F.col(f), filled)
+        return F.struct(
+            F.lit(f).alias("field"), there.alias("found"), (F.lit(False) if filled is None else ~there & filled.isNotNull()).alias("filled"),
+            (nulls("double") if f == "housing" else value).alias("number"), (value if f == "housing" else nulls("string")).alias("text"),
+            F.when(there, "given").otherwise(method).alias("method"), F.when(there, 1.0).otherwise(confidence).alias("confidence"), F.when(there, 1).otherwise(support).cast("long").alias("support"),
+        )
+
+    complete = rows.filter(" and ".join(f"{f} is not null" for f in FIELDS))
+    given = complete.select("part_id", F.inline(F.array(*[cell(f, F.lit("given"), F.lit(1.0), F.lit(1), None) for f in FIELDS])))
+    gaps = rows.filter(" or ".join(f"{f} is null" for f in FIELDS))
+    hits = _hits(gaps, dictionaries, sorted({d.det for w in ways.values() for d in w}), sizes)
+
+    def table_of(f: str, what) -> Column:
+        return F.create_map(*[F.lit(x) for i, d in enumerate(ways[f]) for x in (d.det, what(i, d))]) if ways[f] else F.create_map(F.lit(-1), F.lit(what(0, None)))
+
+    best = []
+    for f in FIELDS:
+        place = F.when(F.col(f"entry.{f}").isNotNull(), table_of(f, lambda i, d: i)[F.col("entry.det")])
+        best.append(F.min(F.when(place.isNotNull(), F.struct(place.alias("place"), F.col("entry.det").alias("det"), F.col(f"entry.{f}").alias("value"), F.col(f"entry.{f}_n").alias("n")))).alias(f"{f}_best"))
+    # a row's hits stand together: they are combined before the shuffle
+    chosen = hits.groupBy("row").agg(F.max("part_id").alias("part_id"), *[F.max(f).alias(f) for f in FIELDS], *best)
+    cells = []
+    for f in FIELDS:
+        hit = F.col(f"{f}_best")
+        method = F.coalesce(table_of(f, lambda i, d: "none" if d is None else ("dependency:" if d.verified else "group:") + d.name)[hit["det"]], F.lit("none"))
+        sure = F.coalesce(table_of(f, lambda i, d: 0.0 if d is None else d.confidence)[hit["det"]], F.lit(0.0))
+        cells.append(cell(f, method, sure, F.coalesce(hit["n"], F.lit(0)), hit["value"].cast(kinds[f])))
+    return given.unionByName(chosen.select("part_id", F.inline(F.array(*cells))))

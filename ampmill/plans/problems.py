@@ -10,13 +10,13 @@ from ampmill.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells without usable value, as the filling operator met them."""
-    return imputation.fill_missing(table(spark, sf_dir, "parts")).filter("not found").select("part_id", "field")
+    """The cells whose value doesn't come from the record itself, by the provenance of the filling operator."""
+    return p1_filled(spark, sf_dir).filter("method <> 'given'").select("part_id", "field")
 
 
 def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of the three fields with its value, whether it was filled, and from what."""
-    return imputation.fill_missing(table(spark, sf_dir, "parts"))
+    return imputation.fill_missing(table(spark, sf_dir, "parts"), table(spark, sf_dir, "canon_values"))
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
