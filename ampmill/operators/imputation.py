@@ -14,6 +14,7 @@ without a shuffle of their keys; only the cold keys of the large dictionaries ar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ CONFIDENCE = 0.9
 TOLERANCE = 1.05
 #: Numbers count as this at least where logarithms are summed; a middle that small is 0.
 LEAST = 1e-12
+#: One more than the largest unsigned long.
+WORD = Decimal(2**64)
 #: Dictionaries of up to this many rows (60 bytes each) are broadcast.
 BROADCAST_ROWS = 50_000
 #: A key of more than one in this many records is hot: there are at most so many hot keys, and they are broadcast.
@@ -129,19 +132,20 @@ def _summed(rows: DataFrame) -> DataFrame:
     Two combining steps: by housing within the key first, so that a hot key meets in one place only as
     its distinct housings.
     """
-    exploded = rows.select("order_number", "Qrr", "V_pl", "package", "spelled", F.posexplode("keys").alias("det", "key")).filter("key is not null")
+    exploded = rows.select("order_number", "Qrr", "V_pl", F.xxhash64("package").alias("package"), F.col("package").isNotNull().alias("named"), F.posexplode("keys").alias("det", "key")).filter("key is not null")
 
     def numbers(f: str) -> list[Column]:
-        there, log = F.col(f).isNotNull(), F.log(F.greatest(F.col(f), F.lit(LEAST)))
-        number = F.when(there, F.col("order_number"))
-        return [F.count(f).alias(f"{f}_n"), F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"), F.sum(log).alias(f"{f}_s"), F.sum(log * log).alias(f"{f}_ss"), F.min(number).alias(f"{f}_lo"), F.max(number).alias(f"{f}_hi")]
-
-    fine = exploded.groupBy("det", "key", "package").agg(*numbers("Qrr"), *numbers("V_pl"), F.count(F.lit(1)).alias("records"), F.min("spelled").alias("spelled"), F.min("order_number").alias("lo"), F.max("order_number").alias("hi"))
-    again = lambda f: [*[F.sum(f"{f}_{x}").alias(f"{f}_{x}") for x in ("n", "s", "ss")], *[F.min(f"{f}_{x}").alias(f"{f}_{x}") for x in ("min", "lo")], *[F.max(f"{f}_{x}").alias(f"{f}_{x}") for x in ("max", "hi")]]
-    named = F.col("package").isNotNull()
+        log = F.log(F.greatest(F.col(f), F.lit(LEAST)))
+        return [F.count(f).alias(f"{f}_n"), F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"), F.sum(log).alias(f"{f}_s"), F.sum(log * log).alias(f"{f}_ss")]
+
+    # numbers of fixed width alone, so that both steps stay hash aggregations
+    fine = exploded.groupBy("det", "key", "named", "package").agg(*numbers("Qrr"), *numbers("V_pl"), F.count(F.lit(1)).alias("records"), F.min("order_number").alias("lo"), F.max("order_number").alias("hi"))
+    again = lambda f: [*[F.sum(f"{f}_{x}").alias(f"{f}_{x}") for x in ("n", "s", "ss")], F.min(f"{f}_min").alias(f"{f}_min"), F.max(f"{f}_max").alias(f"{f}_max")]
+    # the most frequent housing: its count before its hash, in one decimal
+    top = (F.col("records").cast("decimal(18,0)") * F.lit(WORD).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("package").cast("decimal(20,0)") + F.lit(WORD / 2).cast("decimal(20,0)")
     return fine.groupBy("det", "key").agg(
-        *again("Qrr"), *again("V_pl"), F.sum("records").alias("records"),
-        F.sum(F.when(named, F.col("records")).otherwise(0)).alias("housing_n"), F.max(F.when(named, F.struct("records", "package", "spelled"))).alias("top"), F.min(F.when(named, F.col("lo"))).alias("housing_lo"), F.max(F.when(named, F.col("hi"))).alias("housing_hi"),
+        *again("Qrr"), *again("V_pl"), F.sum("records").alias("records"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.sum(F.when(F.col("named"), F.col("records")).otherwise(0)).alias("housing_n"), F.max(F.when(F.col("named"), top.cast("decimal(38,0)"))).alias("top"),
     )
 
 
@@ -159,13 +163,17 @@ def mine(rows: DataFrame) -> tuple[DataFrame, dict[str, list[Dependency]], dict[
         middle = F.exp(F.try_divide(F.col(f"{f}_s"), F.col(f"{f}_n")))
         return F.when(F.col(f"{f}_min") == F.col(f"{f}_max"), F.col(f"{f}_min")).otherwise(F.when(middle >= 2 * LEAST, middle).otherwise(F.when(F.col(f"{f}_n") > 0, 0.0)))
 
-    s = _summed(rows)
-    agreeing = {f: F.when(F.col(f"{f}_max") <= F.col(f"{f}_min") * TOLERANCE, F.col(f"{f}_n")).otherwise(0) for f in FIELDS[:2]} | {"housing": F.coalesce("top.records", F.lit(0))}
-    deviation = {f: F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{f}_ss") - F.try_divide(F.col(f"{f}_s") * F.col(f"{f}_s"), F.col(f"{f}_n")), F.col(f"{f}_n") - 1))) for f in FIELDS[:2]} | {"housing": 1 - F.try_divide(F.coalesce("top.records", F.lit(0)) - 1, F.col("housing_n") - 1)}
+    unit = F.lit(WORD).cast("decimal(20,0)")
+    s = _summed(rows).withColumn("top_n", F.coalesce(F.floor(F.col("top") / unit).cast("long"), F.lit(0)))
+    s = s.withColumn("package", (F.col("top") - F.col("top_n").cast("decimal(18,0)") * unit - F.lit(WORD / 2).cast("decimal(20,0)")).cast("long"))
+    names = rows.filter("package is not null").groupBy(F.xxhash64("package").alias("package")).agg(F.min("spelled").alias("spelled"))
+    s = s.join(names, "package", "left")
+    agreeing = {f: F.when(F.col(f"{f}_max") <= F.col(f"{f}_min") * TOLERANCE, F.col(f"{f}_n")).otherwise(0) for f in FIELDS[:2]} | {"housing": F.col("top_n")}
+    deviation = {f: F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{f}_ss") - F.try_divide(F.col(f"{f}_s") * F.col(f"{f}_s"), F.col(f"{f}_n")), F.col(f"{f}_n") - 1))) for f in FIELDS[:2]} | {"housing": 1 - F.try_divide(F.col("top_n") - 1, F.col("housing_n") - 1)}
     wide = s.select(
         "det", "key", "records",
-        *[c for f in FIELDS[:2] for c in (number(f).alias(f), F.col(f"{f}_n"))], F.col("top.spelled").alias("housing"), "housing_n",
-        *[F.struct((F.coalesce(F.col(f"{f}_lo") != F.col(f"{f}_hi"), F.lit(False))).alias("plural"), agreeing[f].alias("agree"), deviation[f].alias("deviation")).alias(f"{f}_of") for f in FIELDS],
+        *[c for f in FIELDS[:2] for c in (number(f).alias(f), F.col(f"{f}_n"))], F.col("spelled").alias("housing"), "housing_n",
+        *[F.struct((F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) & (F.col(f"{f}_n") > 1)).alias("plural"), agreeing[f].alias("agree"), deviation[f].alias("deviation")).alias(f"{f}_of") for f in FIELDS],
     )
     wide = materialize(wide, "dictionaries")
     stats = []

@@ -2,16 +2,20 @@
 
 Method: the numbers of one device and symbol, in the order they were read, are a hidden Markov model
 with the unit as hidden state. What is written (beside the number, in the unit column, in the line) is
-evidence for a unit; the printed logarithm's distance from the smooth level of its neighbours, as each
-unit would have it, is the other emission; switching units costs. Viterbi gives the units. Written units
-outweigh any level, as does the rule that a number without any unit is in the common one; the level
-decides where a unit is written but can't be read.
+evidence for a unit, as is the absence of any unit for the common one; the other emission is how far the
+printed logarithm, as each unit would have it, lies from the level of the device, which the other
+numbers of the chain and, where they are few, the symbol's numbers on all devices tell; switching units
+costs. Viterbi gives the units: the level decides where a unit is written but can't be read, and
+overrules a written one that it contradicts by orders of magnitude while another unit fits.
 
-Chains are cut into blocks of consecutive text rows, so that no device, however hot, is one task's work.
+A row whose best unit leads by two switches or more is on the best path in that unit whatever stands
+around it. So a chain is cut behind such rows without changing the result, and no device, however hot,
+is one task's work.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,13 +25,17 @@ from pyspark.sql import functions as F
 
 from ampmill.functions.bind import let
 from ampmill.functions.units import number, plain, spellings, unit_beside
+from ampmill.session import materialize
 
-#: Consecutive text_row_ids in one block of a chain.
+#: Consecutive text_row_ids whose rows of one chain are decoded in one piece; the pieces end where the path is certain.
 BLOCK = 65_536
-#: Log-probabilities: of a unit other than the written one, of one other than the common where none is written, of a switch; the most a level can count.
-OTHER_THAN_WRITTEN, OTHER_THAN_COMMON, SWITCH, LEVEL_MOST = -40.0, -25.0, -2.0, 6.0
-#: Neighbours on each side that make the smooth level.
-NEIGHBOURS = 8
+#: Log-probabilities: of a unit other than the written one, of one other than the common where none is written, of a switch.
+OTHER_THAN_WRITTEN, OTHER_THAN_COMMON, SWITCH = -7.0, -9.0, -2.0
+#: A level's share of strays, and their density per decade; least deviation within a device, in decades.
+STRAY, STRAY_DENSITY, LEAST_DEVIATION = 1e-5, 0.1, 0.15
+#: Chains with more than one in this many numbers are hot: their levels are broadcast.
+HOT_SHARE = 2_000
+CHAIN = ["mfr", "mpn", "symbol"]
 
 
 def _dimension(symbol_units: DataFrame) -> DataFrame:
@@ -93,24 +101,101 @@ def _evidence(rows: DataFrame, text_rows: DataFrame, symbol_units: DataFrame) ->
     return both.select("row_id", "text_row_id", "mfr", "mpn", "symbol", "stat", "printed", written.alias("written"), source.alias("source"))
 
 
+def _levels(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains, symbols) of evidence rows: what is known of the level, in decades of the common unit.
+
+    chains: (mfr, mpn, symbol, n, s, numbers), count and sum of the sure logarithms; symbols: (symbol, mu,
+    between, within, uses), the mean over all devices, the variances between and within devices, and how
+    often each unit was read.
+    """
+    sure = F.when(F.abs("sure") < 1e11, F.log10(F.when(F.abs("sure") > 1e-11, F.abs("sure"))))
+    chains = materialize(e.groupBy(*CHAIN).agg(F.count(sure).alias("n"), F.coalesce(F.sum(sure), F.lit(0.0)).alias("s"), F.coalesce(F.sum(sure * sure), F.lit(0.0)).alias("ss"), F.count(F.lit(1)).alias("numbers")), "unit-levels")
+    own = F.coalesce(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.lit(0.0))
+    spread = chains.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(own).alias("own"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("free"))
+    mu, within = F.try_divide("s", "n"), F.greatest(F.lit(LEAST_DEVIATION**2), F.coalesce(F.try_divide("own", "free"), F.lit(0.0)))
+    spread = spread.select("symbol", F.coalesce(mu, F.lit(0.0)).alias("mu"), within.alias("within"), F.greatest(F.lit(LEAST_DEVIATION**2), F.coalesce(F.try_divide("ss", "n") - mu * mu, F.lit(9.0)) - within).alias("between"))
+    # a few dozen rows: symbols by their units
+    uses = e.filter("is is not null").groupBy("symbol", "is").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("is", "n"))).alias("uses"))
+    return chains.select(*CHAIN, "n", "s", "numbers"), spread.join(uses, "symbol", "left")
+
+
+def _with_level(e: DataFrame, chains: DataFrame) -> DataFrame:
+    """e with its chain's n and s. Hot chains' levels are broadcast (at most HOT_SHARE of them), the others joined by shuffle."""
+    total = chains.agg(F.sum("numbers")).first()[0] or 0
+    hot = chains.filter(F.col("numbers") > max(total // HOT_SHARE, 1_000))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CHAIN]
+    near = e.alias("e").join(F.broadcast(hot.alias("h")), same, "left").select("e.*", F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
+    cold = chains.filter(F.col("numbers") <= max(total // HOT_SHARE, 1_000))
+    rest = near.filter("hn is null").alias("e").join(cold.alias("h"), same, "left").select("e.*", "h.n", "h.s")
+    return near.filter("hn is not null").withColumn("n", F.col("hn")).withColumn("s", F.col("hs")).unionByName(rest).drop("hn", "hs")
+
+
+def _emissions(e: DataFrame) -> DataFrame:
+    """e with emission: the log-probability of what is written and printed under each unit of the symbol."""
+    decades = lambda factor, shift: F.log10(F.greatest(F.abs(F.col("printed") * factor + shift), F.lit(1e-12)))
+    # a row doesn't vouch for itself
+    own = F.when((F.abs("sure") < 1e11) & (F.abs("sure") > 1e-11), F.log10(F.abs("sure")))
+    n, s = F.col("n") - own.isNotNull().cast("long"), F.col("s") - F.coalesce(own, F.lit(0.0))
+    sureness = 1 / F.col("between") + n / F.col("within")
+    e = e.withColumn("level", (F.col("mu") / F.col("between") + s / F.col("within")) / sureness).withColumn("variance", F.col("within") + 1 / sureness)
+    all_uses = F.aggregate(F.map_values(F.coalesce("uses", F.create_map().cast("map<struct<odd:boolean,factor:double,shift:double>,bigint>"))), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    def emission(u: Column) -> Column:
+        far = decades(u["factor"], u["shift"]) - F.col("level")
+        fits = F.log((1 - STRAY) * F.exp(-far * far / (2 * F.col("variance"))) / F.sqrt(2 * math.pi * F.col("variance")) + STRAY * STRAY_DENSITY)
+        often = F.log((F.coalesce(F.col("uses")[u], F.lit(0)) + 0.5) / (all_uses + 0.5 * F.size("units")))
+        written = F.when(u == F.col("is"), 0.0).otherwise(OTHER_THAN_WRITTEN)
+        return F.when(F.col("is").isNotNull(), written).when(F.col("source") == "none", F.when(u["odd"], OTHER_THAN_COMMON).otherwise(0.0)).otherwise(often) + F.when(F.col("printed") == 0, 0.0).otherwise(fits)
+
+    return e.withColumn("emission", F.transform("units", emission))
+
+
+def _pieces(e: DataFrame) -> DataFrame:
+    """e with piece and entry: the block in which a row is decoded, and the certain unit before its first row (null at a chain's start).
+
+    A row is certain if its best unit leads by two switches: leaving that unit for this row alone can't pay.
+    Rows behind their block's last certain row go to the next block that has one.
+    """
+    top = F.array_max("emission")
+    lead = top - F.coalesce(F.array_max(F.filter("emission", lambda x: x < top)), F.lit(-1e9))
+    tied = F.size(F.filter("emission", lambda x: x == top)) > 1
+    e = e.withColumn("certain", ~tied & (lead >= -2 * SWITCH)).withColumn("block", F.floor(F.col("text_row_id") / BLOCK)).withColumn("at", F.struct("text_row_id", "row_id", "stat"))
+    last = F.max(F.when(F.col("certain"), F.struct("at", (F.array_position("emission", top) - 1).alias("state"))))
+    blocks = e.groupBy("chain", "block").agg(last.alias("last"))
+    of = Window.partitionBy("chain").orderBy("block")
+    # only chains that lie in several blocks have cuts
+    before = F.last("last.state", True).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(F.col("last").isNotNull(), F.col("block")), True).over(of.rowsBetween(1, Window.unboundedFollowing))
+    final = F.max("block").over(Window.partitionBy("chain"))
+    cuts = blocks.select("chain", "block", "last", before.alias("entry"), F.coalesce(after, final).alias("next"), F.count(F.lit(1)).over(Window.partitionBy("chain")).alias("pieces")).filter("pieces > 1")
+    cuts = cuts.select("chain", "block", F.col("last.at").alias("until"), F.col("last.state").alias("left"), "entry", "next")
+    e = e.join(cuts, ["chain", "block"], "left")
+    moved = F.col("next").isNotNull() & (F.col("until").isNull() | (F.col("at") > F.col("until"))) & (F.col("next") > F.col("block"))
+    # the certain row before a moved row is its own block's last one, if it has one
+    return e.withColumn("piece", F.when(moved, F.col("next")).otherwise(F.col("block"))).withColumn("entry", F.when(moved & F.col("until").isNotNull(), F.col("left")).otherwise(F.col("entry")))
+
+
 def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by chain and position with their emissions (one list for each row) -> the decoded state's index.
+    """Rows sorted by piece and position with their emissions (one list for each row) -> the decoded state's index.
 
-    All chains of a batch advance together: the loop is over positions, not over rows.
+    All pieces of a batch advance together: the loop is over positions, not over rows.
     """
     import numpy as np
 
     keep = ["row_id", "symbol", "stat", "printed", "written", "source"]
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = pdf["chain"].to_numpy()
-        start = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+        chain, piece = pdf["chain"].to_numpy(), pdf["piece"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (chain[1:] != chain[:-1]) | (piece[1:] != piece[:-1])])
         length = np.diff(np.r_[start, len(pdf)])
         k = max(map(len, pdf["emission"]))
         emission = np.full((len(pdf), k), -np.inf)
         for i, e in enumerate(pdf["emission"]):
             emission[i, : len(e)] = e
+        entry = pdf["entry"].to_numpy(dtype=float)[start]
+        come = np.where(np.isnan(entry)[:, None] | (np.arange(k) == entry[:, None]), 0.0, SWITCH)
         score, back = emission.copy(), np.zeros((len(pdf), k), dtype=np.int8)
+        score[start] += come
         for t in range(1, length.max(initial=0)):
             at = start[length > t] + t
             before = score[at - 1]
@@ -134,7 +219,7 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pdf if rest is None or rest.empty else pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        whole = (pdf["chain"] != pdf["chain"].iloc[-1]).to_numpy()
+        whole = ((pdf["chain"] != pdf["chain"].iloc[-1]) | (pdf["piece"] != pdf["piece"].iloc[-1])).to_numpy()
         rest = pdf[~whole].reset_index(drop=True)
         if whole.any():
             yield decode(pdf[whole].reset_index(drop=True))
@@ -148,31 +233,22 @@ def to_common_units(extracted_rows: DataFrame, text_rows: DataFrame, symbol_unit
     source says where the unit was written ('number', 'column', 'line' or 'none'); unit is the decoded
     state as "x factor + shift" of the common unit; converted is true where the unit has another size or
     zero point. Cells without a number and symbols without common unit give no row; a missing text line
-    counts as a line without unit; repeated rows are kept.
+    counts as a line without unit; null makers and numbers are a chain like any other; repeated rows are
+    kept.
     """
     dim = _dimension(symbol_units)
-    states = dim.groupBy("symbol").agg(F.first("common_unit").alias("common_unit"), F.array_sort(F.collect_set(F.struct(((F.col("factor") != 1) | (F.col("shift") != 0)).alias("odd"), "factor", "shift"))).alias("units"))
-    read = dim.select("symbol", F.col("spelling").alias("written"), F.struct(((F.col("factor") != 1) | (F.col("shift") != 0)).alias("odd"), "factor", "shift").alias("is"))
-    e = _evidence(extracted_rows, text_rows, symbol_units)
-    e = e.join(F.broadcast(states), "symbol").join(F.broadcast(read), ["symbol", "written"], "left")
-    chain = ["mfr", "mpn", "symbol", "block"]
-    e = e.withColumn("block", F.floor(F.col("text_row_id") / BLOCK))
-    size = lambda factor, shift: F.log10(F.greatest(F.abs(F.col("printed") * factor + shift), F.lit(1e-12)))
-    sure = F.when(F.col("is").isNotNull(), size(F.col("is.factor"), F.col("is.shift"))).when(F.col("source") == "none", size(F.lit(1.0), F.lit(0.0)))
-    near = Window.partitionBy(*chain).orderBy("text_row_id", "row_id", "stat").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
-    e = e.withColumn("level", F.avg(sure).over(near))
-    emission = F.transform(
-        "units",
-        lambda u: F.when(F.col("is").isNotNull(), F.when((u["factor"] == F.col("is.factor")) & (u["shift"] == F.col("is.shift")), 0.0).otherwise(OTHER_THAN_WRITTEN))
-        .when(F.col("source") == "none", F.when(u["odd"], OTHER_THAN_COMMON).otherwise(0.0))
-        .otherwise(F.when(u["odd"], -0.5).otherwise(0.0))
-        - F.coalesce(F.least(F.lit(LEVEL_MOST), F.pow(size(u["factor"], u["shift"]) - F.col("level"), F.lit(2.0))), F.lit(0.0)),
-    )
-    e = e.withColumn("emission", emission).withColumn("chain", F.xxhash64(*chain))
-    # the window has partitioned and sorted by the chain already; chains stay whole and sorted within partitions
-    decoded = e.select("chain", "row_id", "symbol", "stat", "printed", "written", "source", "emission").mapInPandas(
-        _viterbi, "row_id long, symbol string, stat string, printed double, written string, source string, state long"
-    ).join(F.broadcast(states), "symbol")
+    unit = F.struct(((F.col("factor") != 1) | (F.col("shift") != 0)).alias("odd"), "factor", "shift")
+    states = dim.groupBy("symbol").agg(F.first("common_unit").alias("common_unit"), F.array_sort(F.collect_set(unit)).alias("units"))
+    read = dim.select("symbol", F.col("spelling").alias("written"), unit.alias("is"))
+    e = _evidence(extracted_rows, text_rows, symbol_units).join(F.broadcast(read), ["symbol", "written"], "left").join(F.broadcast(states.select("symbol")), "symbol", "left_semi")
+    sure = F.when(F.col("is").isNotNull(), F.col("printed") * F.col("is.factor") + F.col("is.shift")).when(F.col("source") == "none", F.col("printed"))
+    e = materialize(e.withColumn("sure", sure), "unit-evidence")
+    chains, symbols = _levels(e)
+    # a row per symbol of the reference list
+    e = _with_level(e, chains).join(F.broadcast(symbols), "symbol").join(F.broadcast(states), "symbol").withColumn("chain", F.xxhash64(*CHAIN))
+    e = _pieces(_emissions(e).drop("units", "uses", "mu", "between", "within", "level", "variance"))
+    pieces = e.select("chain", "piece", "entry", "row_id", "symbol", "stat", "printed", "written", "source", "emission", "text_row_id").repartition("chain", "piece").sortWithinPartitions("chain", "piece", "text_row_id", "row_id", "stat")
+    decoded = pieces.drop("text_row_id").mapInPandas(_viterbi, "row_id long, symbol string, stat string, printed double, written string, source string, state long").join(F.broadcast(states), "symbol")
     u = F.col("units")[F.col("state").cast("int")]
     value = F.col("printed") * u["factor"] + u["shift"]
     return decoded.select(
