@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampmill.functions.values import is_stand_in
-from ampmill.llm.lookalike import with_key
+from ampmill.llm.lookalike import composed, with_key
 from ampmill.session import materialize
 
 #: Least Jaccard similarity of a match.
@@ -49,7 +49,7 @@ def plain_form(df: DataFrame, value: str, field: str, name: str) -> DataFrame:
     """
     entities = F.regexp_replace(F.regexp_replace(F.col(value), r"&times;|&#215;|×", "x"), r"&#82(08|09|11|12);|&ndash;|&mdash;|&minus;|[–—]", "-")
     entities = F.regexp_replace(F.regexp_replace(entities, r"&nbsp;|&#160;", " "), r"&amp;", "&")
-    df = with_key(df.withColumn(name, entities), name, F.lit(True), name)
+    df = composed(with_key(df.withColumn(name, entities), name, F.lit(True), name), name)
     accents = _accents()
     col = F.lower(F.translate(F.col(name), "".join(accents), "".join(accents.values())))
     col = F.regexp_replace(col, r"(?<![a-z])[uμ](?=electr)", "micro")

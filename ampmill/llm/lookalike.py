@@ -1,9 +1,10 @@
 """Problem 5: one consistent form for text that looks the same but differs in its characters.
 
 Method: every value is mapped to its look-alike key with built-in string functions; the distinct
-values are grouped by that key under the accent-sensitive Unicode collation (so that combining and
-single-letter accents, and characters without weight, also fall together); each class names one
-deterministic canonical member, which is joined back to the cells. All of it runs in the JVM.
+values are grouped by that key under the accent-sensitive Unicode collation, which alone decides that
+combining and single-letter accents, doubled signs and characters without weight fall together; each
+class names one deterministic canonical member, which is joined back to the cells, and a cell is changed
+if it isn't that member. All of it runs in the JVM.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡
 BLANKS = "               　"
 HYPHENS = "‐‑−"
 # Signs that look like °, Ω or μ.
-SIGNS = {"º": "°", "˚": "°", "Ω": "Ω", "µ": "μ", "K": "K"}
+SIGNS = {"º": "°", "˚": "°", "Ω": "Ω", "µ": "μ", "K": "K", "\u212b": "\u00c5"}
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԜԚаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXWQaesijopcyxhdqwl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικ", "ABEZHIKMNOPTYXavopik"))
@@ -77,16 +78,12 @@ def _spell(token: Column) -> Column:
 
 
 def _compose(token: Column) -> Column:
-    """A letter and up to two accents as one letter, where there is one."""
-
-    def step(letter: Column, accent: Column) -> Column:
-        made = F.concat(letter, accent)
-        for a, letters in _ACCENTS.items():
-            made = F.when((accent == a) & (F.instr(F.lit("".join(letters)), letter) > 0), _translate(letter, letters)).otherwise(made)
-        return made
-
-    first = step(F.substring(token, 1, 1), F.substring(token, 2, 1))
-    return F.when(~token.rlike(r"^\p{L}\p{M}"), token).when(F.length(token) == 2, first).otherwise(F.concat(first, F.substring(token, 3, 1_000_000)))
+    """A letter and its next accent as one letter, where there is one; further accents stay behind it."""
+    letter, accent = F.substring(token, 1, 1), F.substring(token, 2, 1)
+    made = F.concat(letter, accent)
+    for a, letters in _ACCENTS.items():
+        made = F.when((accent == a) & (F.instr(F.lit("".join(letters)), letter) > 0), _translate(letter, letters)).otherwise(made)
+    return F.when(~token.rlike(r"^\p{L}\p{M}"), token).otherwise(F.concat(made, F.substring(token, 3, 1_000_000)))
 
 
 def _by_token(col: Column, boundary: str, replace) -> Column:
@@ -94,15 +91,22 @@ def _by_token(col: Column, boundary: str, replace) -> Column:
 
 
 def _spelled(df: DataFrame, name: str) -> DataFrame:
-    """Accents composed, ligatures and the like spelled out, blanks, hyphens and signs plain, the invisible dropped.
+    """Ligatures and the like spelled out, blanks, hyphens and signs plain, the invisible dropped; accents as they are.
 
     Each step is a column of its own, so that no step's expression is repeated within the next.
     """
     simple = _ONE | dict.fromkeys(BLANKS, " ") | dict.fromkeys(HYPHENS, "-") | SIGNS
     col = F.col(name)
     df = df.withColumn(name, F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, "".join(simple) + INVISIBLE, "".join(simple.values()))).otherwise(col))
-    df = df.withColumn(name, F.when(col.rlike(_NEAR), _by_token(col, f"(?<={_NEAR})|(?={_NEAR})", _spell)).otherwise(col))
-    return df.withColumn(name, F.when(col.rlike(r"\p{L}\p{M}"), _by_token(col, r"(?=\p{L}\p{M})|(?<=\p{M})(?!\p{M})", _compose)).otherwise(col))
+    return df.withColumn(name, F.when(col.rlike(_NEAR), _by_token(col, f"(?<={_NEAR})|(?={_NEAR})", _spell)).otherwise(col))
+
+
+def composed(df: DataFrame, name: str) -> DataFrame:
+    """df with letters and up to two combining accents as single letters, where such letters exist."""
+    col = F.col(name)
+    for _ in range(2):
+        df = df.withColumn(name, F.when(col.rlike(r"\p{L}\p{M}"), _by_token(col, r"(?=\p{L}\p{M})|(?<=\p{M})(?!\p{M})", _compose)).otherwise(col))
+    return df
 
 
 def _word(w: Column) -> Column:
@@ -118,7 +122,7 @@ MIXED = "|".join(f"{a}{_REST}{b}" for a, b in ((r"\p{IsLatin}", OTHER), (OTHER,
 
 
 def with_key(df: DataFrame, value: str, is_unit: Column, name: str = "key") -> DataFrame:
-    """df with the plain form of a string column.
+    """df with the look-alike key of a string column: its plain form but for accents, which stay as they are.
 
     In running text words wholly in one script stay as they are and words of mixed scripts come out in
     one; in a unit only Latin letters, Ω and μ are plain.
@@ -130,33 +134,32 @@ def with_key(df: DataFrame, value: str, is_unit: Column, name: str = "key") -> D
     return df.withColumn(name, F.when(is_unit, _translate(col, CYRILLIC | GREEK)).otherwise(of_text))
 
 
-#: Characters that are plain wherever they stand, as ranges: ASCII, signs, single-letter accents, long dashes, operators, CJK.
-PLAIN = "\\x00-\\x7f°-´¶-¹»-ɏΩμḀ-ỿ‒-‟•…←-∑∓-⋿一-鿿"
-
-
 def canonical_cells(cells: DataFrame) -> DataFrame:
     """cells (field, row_id, value) with columns canonical and changed.
 
     field 'unit' has the rules of units, any other those of running text. Null values stay null and
-    unchanged, empty and ASCII ones are plain; repeated rows are kept. A cell is changed if it has a
-    character that only looks like, or adds nothing visible to, the plain form.
-
-    Cells of plain characters alone are the canonical members of their classes and pass without a
-    shuffle, so that a value held by a third of all rows costs nothing. The others' distinct values are
-    keyed once, written, and grouped; the join back is by value.
+    unchanged, empty ones are plain; repeated rows are kept. A cell is changed if it isn't its class's
+    canonical member, that is, if it has a character that only looks like, or adds nothing visible to,
+    the plain form. The canonical member is the shortest spelling of the class, then the first in binary
+    order; where every member has an accent of its own character, the spelling with single letters
+    stands for the class.
+
+    Cells of printable ASCII pass without a shuffle: two such strings are never equal under the
+    collation, and a class that meets one has it as its shortest spelling whether or not it occurs. All
+    other distinct values, plain ones too, are combined on the map side, keyed once, written and grouped.
     """
     from ampmill.session import materialize
 
-    odd = F.coalesce(F.col("value").rlike(f"[^{PLAIN}]"), F.lit(False))
-    plain = cells.filter(~odd).select("field", "row_id", "value", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
-    suspects = cells.filter(odd)
-    keyed = materialize(with_key(suspects.select("field", "value").distinct(), "value", F.col("field") == "unit"), "look-alikes")
-    classes = keyed.groupBy("field", F.collate("key", "UNICODE").alias("class")).agg(
-        F.min(F.struct(F.length("key").alias("size"), F.col("key"))).getField("key").alias("canonical")
-    )
-    members = keyed.withColumn("class", F.collate("key", "UNICODE")).join(classes, ["field", "class"])
-    members = members.select("field", "value", "canonical", (F.col("key") != F.col("value")).alias("changed"))
-    return plain.unionByName(suspects.join(members, ["field", "value"]).select("field", "row_id", "value", "canonical", "changed"))
+    settled = F.coalesce(F.col("value").rlike(r"^[ -~]*\z"), F.lit(True))
+    plain = cells.filter(settled).select("field", "row_id", "value", F.col("value").alias("canonical"), F.lit(False).alias("changed"))
+    others = cells.filter(~settled)
+    keyed = with_key(others.select("field", "value").distinct(), "value", F.col("field") == "unit")
+    keyed = materialize(composed(keyed.withColumn("spelling", F.col("key")), "spelling"), "look-alikes")
+    named = F.collate("key", "UNICODE")
+    classes = keyed.groupBy("field", named.alias("class")).agg(F.min(F.struct(F.length("spelling").alias("size"), F.col("spelling"))).getField("spelling").alias("canonical"))
+    members = keyed.withColumn("class", named).join(classes, ["field", "class"])
+    members = members.select("field", "value", "canonical", (F.col("canonical") != F.col("value")).alias("changed"))
+    return plain.unionByName(others.join(members, ["field", "value"]).select("field", "row_id", "value", "canonical", "changed"))
 
 
 def datasheet_cells(text_rows: DataFrame, extracted_rows: DataFrame) -> DataFrame:

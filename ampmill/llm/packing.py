@@ -15,7 +15,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampmill.session import materialize
@@ -25,8 +25,8 @@ CAPACITY = 2048
 SMALL_PARTS = 8
 #: Number of groups of equal cardinality; the unused space bought by rounding falls with it.
 GROUPS = 24
-#: Buckets in which documents of one length are ranked, so that no length is one task's work.
-RANK_BUCKETS = 64
+#: Rows that are ranked in one piece: a length has as many hash buckets as its count asks for, so that no length is one task's work.
+RANK_ROWS = 100_000
 
 
 def _best_configuration(sizes: list[int], values: list[float], left: list[int], capacity: int) -> tuple[float, list[int]]:
@@ -152,13 +152,14 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, groups:
     return sorted(((c, n) for c, n in out.items() if n), key=lambda x: (-sum(x[0]), x[0]))
 
 
-def rank_within(df: DataFrame, key: str, order: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: str, buckets: Column | int) -> DataFrame:
     """df with column rank: 0, 1, ... within equal key, without ever collecting a key's rows in one task.
 
-    Rows of one key are ranked in hash buckets of the order column; the buckets' offsets come from
-    their counts (buckets rows a key). Ties in the order column are broken arbitrarily but uniquely.
+    Rows of one key are ranked in hash buckets of the order column, whose number (a column of the key,
+    at least 1) follows the key's count; the buckets' offsets come from their counts (buckets rows a
+    key). Ties in the order column are broken arbitrarily but uniquely.
     """
-    salted = df.withColumn("__b", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+    salted = df.withColumn("__b", F.pmod(F.xxhash64(order), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
     counts = salted.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -198,7 +199,10 @@ def pack_documents(counts: DataFrame, capacity: int = CAPACITY, groups: int = GR
     runs = spark.createDataFrame(places, schema).groupBy("piece_tokens").agg(
         F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "first_container", "per_container"))).alias("runs")
     )
-    ranked = rank_within(pieces.withColumn("__key", F.xxhash64("doc_id", "piece")), "piece_tokens", "__key").drop("__key")
+    # as many buckets as a length's count asks for; the map has at most capacity + 1 entries
+    split = {size: 1 + n // RANK_ROWS for size, n in histogram.items() if n >= RANK_ROWS}
+    buckets = F.coalesce(F.create_map(*[F.lit(x) for kv in split.items() for x in kv])[F.col("piece_tokens")], F.lit(1)) if split else 1
+    ranked = rank_within(pieces.withColumn("__key", F.xxhash64("doc_id", "piece")), "piece_tokens", "__key", buckets).drop("__key")
     found = F.element_at(F.filter("runs", lambda x: (F.col("rank") >= x["from_rank"]) & (F.col("rank") < x["to_rank"])), 1)
     placed = ranked.join(F.broadcast(runs), "piece_tokens", "left").withColumn("__run", found)
     container = F.col("__run.first_container") + F.floor((F.col("rank") - F.col("__run.from_rank")) / F.col("__run.per_container"))

@@ -59,8 +59,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that alone exceed a container and were cut."""
-    return p7_containers(spark, sf_dir).filter("n_pieces > 1 and piece = 0").select("doc_id")
+    """Documents that lie in more than one container, as packed: those that alone exceed one and were cut."""
+    packed = p7_containers(spark, sf_dir).groupBy("doc_id").agg(F.min("container_id").alias("a"), F.max("container_id").alias("b"), F.max("n_pieces").alias("n_pieces"))
+    # several rows of one document lie apart without being cut
+    return packed.filter("a <> b and n_pieces > 1").select("doc_id")
 
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:

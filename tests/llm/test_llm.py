@@ -75,6 +75,8 @@ def test_pack_documents(spark):
         room[r.container_id] += r.piece_tokens
     assert max(room.values()) <= 2048 and all(r.container_id is not None for r in got)
     assert {r.doc_id for r in got if r.n_pieces > 1} == {12, 14}
+    apart = {d: {r.container_id for r in got if r.doc_id == d} for d in (0, 10, 12, 13, 14)}
+    assert {d for d, c in apart.items() if len(c) > 1} == {12, 14}
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, n_tokens int")).count() == 0
 
 
@@ -127,6 +129,17 @@ def test_invisible_spellings_fall_together(spark):
     assert {r.canonical for r in got} == {"Gate charge"}
 
 
+def test_collation_decides_the_classes(spark):
+    """Accents aren't mapped: cells fall together by the collation, with the plain member as canonical form."""
+    cells = ["Vi\u1ebft", "Vie\u0302\u0301t", "Vi\u00ea\u0301t", "10 \u212b", "10 \u00c5", "o\u0301hm", "a\u037e", "x\u0304", "Vi\u1ec7t"]
+    df = spark.createDataFrame([("text", i, v) for i, v in enumerate(cells)], "field string, row_id long, value string")
+    got = {r.row_id: (r.canonical, r.changed) for r in lookalike.canonical_cells(df).collect()}
+    assert [got[i][0] for i in range(9)] == ["Vi\u1ebft", "Vi\u1ebft", "Vi\u1ebft", "10 \u00c5", "10 \u00c5", "\u00f3hm", "a\u037e", "x\u0304", "Vi\u1ec7t"]
+    assert [i for i in range(9) if got[i][1]] == [1, 2, 3, 5]
+    plan = lookalike.canonical_cells(df).filter("changed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collationkey" in plan.lower()
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 CANON = [(1, "mfr", "Ostrenn Semiconductor", ["ostrenn"]), (2, "mfr", "Norvolta Semiconductor", ["norvolta"]), (3, "mfr", "Norvalda Devices", None), (4, "housing", "TO-263", ["D2PAK"]), (5, "housing", "TO-263-7", ["D2PAK-7"]), (6, "housing", "SOT-23", []), (7, "housing", "DFN 8x8", [])]
