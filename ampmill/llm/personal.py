@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most documents that the model is fitted on (chosen by the hash of their id), and most characters read of each while fitting.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 4000
+#: Most documents that the model is fitted on, chosen by the hash of their id and read as a whole.
+SAMPLE_DOCS = 2000
+#: Most given names and makers that the model takes in; longer lists are refused.
+LIST_ROWS = 100_000
 #: Size of the hashed weight vectors.
 BUCKETS = 1 << 16
-#: Rounds of message passing; messages keep DAMPING of their old value.
-ROUNDS, DAMPING = 6, 0.3
+#: Messages keep DAMPING of their old value; a document is done when none of its messages moves further than TOLERANCE. After ROUNDS a warning tells how many aren't.
+DAMPING, TOLERANCE, ROUNDS = 0.3, 0.01, 200
 #: Added to the log-odds of a person: a name missed costs more than a word masked.
 PERSON_SHIFT = 1.0
 #: Added besides for a word behind an initial, and half of it behind "M.", which may be a title.
@@ -49,19 +52,27 @@ _LINK = r"(?:(?:de la|de los|de las|de l['’]|des|del|du|de|la|le|los|las) ?)?"
 _ADDITION = r"(?:,? (?:Apt|Apartment|Suite|Unit|Flat|Floor|App|Piso|Hinterhaus|Bldg)\.? ?\d*\w?)?"
 _DOMAIN = r"[A-Za-z0-9][\w\-]*(?:\.[A-Za-z0-9][\w\-]*)*\.[A-Za-z]{2,}"
 
-CHUNKS = re.compile(
-    "|".join(
-        [
-            rf"(?P<email>[A-Za-z0-9][\w.+\-]* ?(?:@|＠|\(at\)|\[at\]|\(@\)|\{{at\}}) ?{_DOMAIN}|[A-Za-z0-9][\w.+\-]* at [A-Za-z0-9][\w\-]*(?: dot [A-Za-z0-9][\w\-]*)+)",
-            rf"(?P<address>\b\d{{1,5}}[A-Z]? {_CAPS} {_STREET_EN}\b(?:(?<=St)\.(?=\W))?{_ADDITION}"
-            rf"|\b\d{{1,4}} ?(?:bis|ter|quater|[a-zA-Z])?,? {_STREET_FR} {_LINK}{_CAPS}"
-            rf"|(?:\b{_CAP} )?\b(?:[A-ZÄÖÜ][\wßäöü\-]*?{_STREET_DE}|(?:Alte|Neue|Große|Kleine|Obere|Untere|Am|An der|Im|Zum|Zur|Auf der|In der) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:\s?[-/–]\s?\d{{1,3}}[a-z]?)?"
-            rf"|(?:\b|(?<=\s)){_STREET_ES} {_LINK}{_CAPS},? (?:nº|n°|n\.º|núm\.|No\.)? ?\d{{1,4}} ?[a-z]?\b(?:-\d+)?)",
-            r"(?P<number>(?P<digits>\+?\(?\d+(?:(?:\) ?| \(|[ ./\-‑])\d+)+(?:-[A-Z]\b)?)|\+\d{8,14}|\b[A-Z]{1,3}\d{5,9}[A-Z]?\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{7,12}(?:-?[A-Z])?\b)",
-            rf"(?P<word>\b(?:[A-Z]\.(?= ?[A-Z])|{_CAP}))",
-        ]
-    )
+_EMAIL = rf"(?P<email>(?<![A-Za-z0-9])[A-Za-z0-9][\w.+\-]* ?(?:@|＠|\(at\)|\[at\]|\(@\)|\{{at\}}) ?{_DOMAIN}|(?<![A-Za-z0-9])[A-Za-z0-9][\w.+\-]* at [A-Za-z0-9][\w\-]*(?: dot [A-Za-z0-9][\w\-]*)+)"
+_ADDRESS = (
+    rf"(?P<address>\b\d{{1,5}}[A-Z]? {_CAPS} {_STREET_EN}\b(?:(?<=St)\.(?=\W))?{_ADDITION}"
+    rf"|\b\d{{1,4}} ?(?:bis|ter|quater|[a-zA-Z])?,? {_STREET_FR} {_LINK}{_CAPS}"
+    rf"|(?:\b{_CAP} )?\b(?:(?=[A-ZÄÖÜ][\wßäöü\-]*\.? \d)[A-ZÄÖÜ][\wßäöü\-]*?{_STREET_DE}|(?:Alte|Neue|Große|Kleine|Obere|Untere|Am|An der|Im|Zum|Zur|Auf der|In der) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:\s?[-/–]\s?\d{{1,3}}[a-z]?)?"
+    rf"|(?:\b|(?<=\s)){_STREET_ES} {_LINK}{_CAPS},? (?:nº|n°|n\.º|núm\.|No\.)? ?\d{{1,4}} ?[a-z]?\b(?:-\d+)?)"
 )
+_NUMBER = r"(?P<number>(?P<digits>\+?\(?\d+(?:(?:\) ?| \(|[ ./\-‑])\d+)+(?:-[A-Z]\b)?)|\+\d{8,14}|\b[A-Z]{1,3}\d{5,9}[A-Z]?\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{7,12}(?:-?[A-Z])?\b)"
+_WORD = rf"(?P<word>\b(?:[A-Z]\.(?= ?[A-Z])|{_CAP}))"
+#: Everything but an e-mail address begins with one of these.
+_FIRST = r"(?=[0-9+(A-ZÀ-ÖØ-Þ])"
+#: Without one of these a text holds no e-mail address.
+_AT = ("@", "＠", " dot ", "(at)", "[at]", "{at}")
+_CHUNKS = {at: re.compile("|".join([*[_EMAIL][: int(at)], _FIRST + "(?:" + "|".join([_ADDRESS, _NUMBER, _WORD]) + ")"])) for at in (False, True)}
+
+
+def _chunks(text: str) -> re.Pattern:
+    """The pattern of all chunks, without the alternative that can't occur in the text."""
+    return _CHUNKS[any(x in text for x in _AT)]
+
+
 # Words before numbers of persons, before telephone numbers, and before other numbers.
 ID_CUE = re.compile(r"(?i)(?:passport|reisepass|passeport|pasaporte|identity card|id card|ausweis|dni|nie|social|insurance|sociale|ssn|nino|ni number|tax|steuer\S*|fiscal|nif|nss|身份证|护照)(?: (?:no|number|nr|id|file no|file|card|security number|insurance no|security))?\s?[.:]*\s*$|(?i:ausweis-nr\.|n° de sécurité sociale|social security number) *$")
 PHONE_CUE = re.compile(r"(?i)(?:tel\.?|telephone|phone|mobile|fax|call|text me on|number|numéro :|teléfono|telefonisch|unter|电话|or|oder|reach me at)\s*:?\s*$")
@@ -82,6 +93,7 @@ _BEFORE = re.compile(r"(\S+)?[ \t]*(\n)?(\S+)?[ \t]*$")
 _AFTER = re.compile(r"[ \t]*(\n)?(\S+)?[ \t]*(\S+)?")
 
 
+@lru_cache(100_000)
 def folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalnum())
 
@@ -99,10 +111,10 @@ class Node:
 
 def nodes_of(text: str) -> list[Node]:
     out = []
-    for m in CHUNKS.finditer(text):
+    for m in _chunks(text).finditer(text):
         kind, (s, e) = m.lastgroup, m.span()
         # short groups of digits are measurements, dates and the like; a number with letters before it has its own form
-        if m["digits"] and sum(map(str.isdigit, m.group())) < 7:
+        if kind == "number" and m["digits"] and sum(map(str.isdigit, m.group())) < 7:
             continue
         p = text[max(0, s - 40) : s]
         words = p.split()
@@ -129,43 +141,82 @@ def _look(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-zß-öø-ÿ]", "a", re.sub(r"[A-ZÀ-ÖØ-Þ]", "A", re.sub(r"\d", "9", word))))[:12]
 
 
-def _features(n: Node, given: frozenset[str], full: bool) -> list[str]:
-    """Feature strings of a word or number; full adds those of the word itself."""
-    look = ["bs=" + _look(n.before[0]), "as=" + _look(n.after[0]), "bas=" + _look(n.before[0]) + "|" + _look(n.after[0]), "bbs=" + n.before[1].lower() + "|" + _look(n.before[0])]
-    (b1, b2), (a1, a2) = map(str.lower, n.before), map(str.lower, n.after)
-    f = ["b1=" + b1, "b2=" + b2 + " " + b1, "a1=" + a1, "a2=" + a1 + " " + a2, "ba=" + b1 + "|" + a1]
-    if n.kind == "number":
-        shape = _shape(n.text)
-        return ["#" + x for x in f] + ["shape=" + shape, "n=" + str(shape.count("9")), "plus=" + n.text[:1]]
-    t = n.text
-    f += [*look, "up" if t.isupper() and len(t) > 2 else "initial" if len(t) == 2 and t[1] == "." else "digit" if any(map(str.isdigit, t)) else "cap", "len=" + str(min(len(t), 9)), "title" if b1.rstrip(".") in TITLES else "no"]
+# A node's features in four groups: what stands before it, what stands behind it, both, and its own form. Each group
+# depends on few strings, so that its weights are summed once for all nodes that share it.
+
+
+def _before(kind: str, before: tuple[str, str]) -> list[str]:
+    b1, b2 = before[0].lower(), before[1].lower()
+    f = ["b1=" + b1, "b2=" + b2 + " " + b1]
+    if kind == "number":
+        return ["#" + x for x in f]
+    look = _look(before[0])
+    return [*f, "bs=" + look, "bbs=" + b2 + "|" + look, "title" if b1.rstrip(".") in TITLES else "no"]
+
+
+def _after(kind: str, after: tuple[str, str]) -> list[str]:
+    a1, a2 = after[0].lower(), after[1].lower()
+    f = ["a1=" + a1, "a2=" + a1 + " " + a2]
+    return ["#" + x for x in f] if kind == "number" else [*f, "as=" + _look(after[0])]
+
+
+def _around(kind: str, both: tuple[str, str]) -> list[str]:
+    f = "ba=" + both[0].lower() + "|" + both[1].lower()
+    return ["#" + f] if kind == "number" else [f, "bas=" + _look(both[0]) + "|" + _look(both[1])]
+
+
+def _form(kind: str, text: str, given: frozenset[str], full: bool) -> list[str]:
+    """Features of the word or number itself; full adds those of a word's letters."""
+    if kind == "number":
+        shape = _shape(text)
+        return ["shape=" + shape, "n=" + str(shape.count("9")), "plus=" + text[:1]]
+    f = ["up" if text.isupper() and len(text) > 2 else "initial" if len(text) == 2 and text[1] == "." else "digit" if any(map(str.isdigit, text)) else "cap", "len=" + str(min(len(text), 9))]
     if full:
-        low = t.lower()
+        low = text.lower()
         f += ["given" if low in given else "other", "w=" + low, "s3=" + low[-3:], "s4=" + low[-4:], "s5=" + low[-5:], "p3=" + low[:3]]
     return f
 
 
-def _index(features: list[str], memo: dict[str, int]) -> list[int]:
-    out = []
-    for f in features:
-        i = memo.get(f)
-        if i is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            i = memo[f] = zlib.crc32(f.encode()) % BUCKETS
-        out.append(i)
-    return out
+class Scorer:
+    """Sums of weights of nodes, group by group; each group's sum is kept for the nodes that share it."""
+
+    #: Entries kept of each group; only speed depends on it.
+    KEPT = 200_000
+
+    def __init__(self, given: frozenset[str], weights: np.ndarray | None = None, full: bool = True):
+        self.given, self.weights, self.full = given, weights, full
+        self.kept: tuple[dict, ...] = ({}, {}, {}, {})
+
+    def _group(self, g: int, kind: str, key):
+        kept = self.kept[g]
+        found = kept.get((kind, key))
+        if found is None:
+            features = _form(kind, key, self.given, self.full) if g == 3 else (_before, _after, _around)[g](kind, key)
+            found = [zlib.crc32(f.encode()) % BUCKETS for f in features]
+            if self.weights is not None:
+                found = self.weights[:, found].sum(axis=1)
+                found = float(found[0]) if kind == "word" else found[1:]
+            if len(kept) >= self.KEPT:
+                kept.clear()
+            kept[kind, key] = found
+        return found
+
+    def __call__(self, n: Node):
+        """The node's sum (of a word for a person; of a number for a phone and an id), or its features' places if there are no weights."""
+        kind = n.kind
+        return self._group(0, kind, n.before) + self._group(1, kind, n.after) + self._group(2, kind, (n.before[0], n.after[0])) + self._group(3, kind, n.text)
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, passes: int = 100, ridge: float = 2e-4) -> np.ndarray:
     """Logistic regression on hashed binary features by full-batch adaptive gradient steps; the last weight is the bias."""
     length = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), length)
+    flat = np.concatenate(rows).astype(np.intp)
+    first = np.r_[0, np.cumsum(length)[:-1]]
     w, bias, square, square_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(passes):
-        z = np.bincount(owner, w[flat], len(rows)) + bias
+        z = np.add.reduceat(w[flat], first) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.bincount(flat, g[owner], BUCKETS) / len(rows) + ridge * w
+        grad = np.bincount(flat, np.repeat(g, length), BUCKETS) / len(rows) + ridge * w
         square += grad**2
         w -= 0.5 * grad / np.sqrt(square)
         gb = g.mean()
@@ -224,6 +275,9 @@ class Model:
     given: frozenset[str]
     makers: frozenset[str]
 
+    def scorer(self) -> Scorer:
+        return Scorer(self.given, np.stack([self.person[:-1], self.phone[:-1], self.identity[:-1]]))
+
 
 def _log_potential(pairs: Counter) -> np.ndarray:
     """Pointwise mutual information of the two binary labels of an edge, smoothed."""
@@ -238,7 +292,7 @@ def words_of(names: list[str]) -> frozenset[str]:
 
 def train(texts: list[str], given_names: list[str], makers: frozenset[str] = frozenset()) -> Model:
     """A model from sample texts without labels and the list of given names; makers are words that are never names. Deterministic."""
-    given, memo = frozenset(g.lower() for g in given_names), {}
+    given = frozenset(g.lower() for g in given_names)
     docs = [(t, nodes_of(t)) for t in texts]
     words = [(d, i) for d, (_, ns) in enumerate(docs) for i, n in enumerate(ns) if n.kind == "word"]
     place = {x: k for k, x in enumerate(words)}
@@ -254,7 +308,8 @@ def train(texts: list[str], given_names: list[str], makers: frozenset[str] = fro
             beside[a], beside[b] = max(beside[a], seed[b]), max(beside[b], 0.0 if comma else seed[a])
     beside[barred] = 0.0
     # first on contexts alone: names that the list lacks stand in the same contexts as those it has
-    context = [_index(_features(docs[d][1][i], given, False), memo) for d, i in words]
+    places = Scorer(given, full=False)
+    context = [places(docs[d][1][i]) for d, i in words]
     if len(words) and 0 < seed.sum() < len(seed):
         first = _fit(context, beside, np.where(beside > 0, 2.0, 1.0))
         z = np.array([first[r].sum() for r in context]) + first[-1]
@@ -274,7 +329,8 @@ def train(texts: list[str], given_names: list[str], makers: frozenset[str] = fro
             return len(stands) > 3 and not seed[k] and docs[d][1][i].text[-1] != "." and np.mean(stands) < 0.3
 
         label = np.where([common(k) for k in range(len(words))], 0.0, label)
-        rows = [_index(_features(docs[d][1][i], given, True), memo) for d, i in words]
+        places = Scorer(given)
+        rows = [places(docs[d][1][i]) for d, i in words]
         person = _fit(rows, label, np.ones(len(words)))
         # once more, with what the words' own forms say
         z = np.array([person[r].sum() for r in rows]) + person[-1]
@@ -288,14 +344,14 @@ def train(texts: list[str], given_names: list[str], makers: frozenset[str] = fro
         for i, j in skip_pairs(ns):
             if (d, i) in place and (d, j) in place:
                 skip[int(label[place[d, i]]), int(label[place[d, j]])] += 1
-    rows, y = [], []
+    rows, y, places = [], [], Scorer(given)
     for t, ns in docs:
         for n in ns:
             if n.kind == "number":
                 p = t[max(0, n.start - 40) : n.start]
                 kind = 2 if ID_CUE.search(p) else 0 if OTHER_CUE.search(p) else 1 if PHONE_CUE.search(p) or n.text[0] == "+" else -1
                 if kind >= 0:
-                    rows.append(_index(_features(n, given, True), memo))
+                    rows.append(places(n))
                     y.append(kind)
     kinds = np.array(y)
     weak = np.append(np.zeros(BUCKETS), -3.0)
@@ -316,48 +372,80 @@ def infer(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray) -> np.nda
         m = np.logaddexp.reduce(cavity[:, :, None] + table, axis=1)
         return m - m.max(axis=1, keepdims=True)
 
+    # documents are apart from each other: the edges of those that have settled rest
+    component = _components(len(unary), edges)
+    moving = np.arange(len(edges))
     for _ in range(ROUNDS):
         belief = unary.copy()
         np.add.at(belief, j, forth)
         np.add.at(belief, i, back)
-        new_forth, new_back = send(belief[i] - back, potential), send(belief[j] - forth, potential.transpose(0, 2, 1))
-        forth, back = DAMPING * forth + (1 - DAMPING) * new_forth, DAMPING * back + (1 - DAMPING) * new_back
+        a, b, table = i[moving], j[moving], potential[moving]
+        new_forth, new_back = send(belief[a] - back[moving], table), send(belief[b] - forth[moving], table.transpose(0, 2, 1))
+        moved = np.maximum(np.abs(new_forth - forth[moving]).max(axis=1), np.abs(new_back - back[moving]).max(axis=1))
+        forth[moving], back[moving] = DAMPING * forth[moving] + (1 - DAMPING) * new_forth, DAMPING * back[moving] + (1 - DAMPING) * new_back
+        most = np.zeros(component.max() + 1)
+        np.maximum.at(most, component[a], moved)
+        moving = moving[most[component[a]] > TOLERANCE]
+        if not len(moving):
+            break
+    else:
+        warnings.warn(f"{len(np.unique(component[i[moving]]))} groups of nodes haven't settled after {ROUNDS} rounds", stacklevel=2)
     belief = unary.copy()
     np.add.at(belief, j, forth)
     np.add.at(belief, i, back)
     return belief
 
 
-def mentions(texts: list[str | None], model: Model, memo: dict[str, int], own: list[str | None] | None = None) -> list[list[tuple[str, int, int]]]:
+def _components(n: int, edges: np.ndarray) -> np.ndarray:
+    """For each of n nodes the number of its connected component."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges.tolist():
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[rb] = ra
+    return np.array([root(x) for x in range(n)])
+
+
+def mentions(texts: list[str | None], model: Model, own: list[str | None] | None = None, scorer: Scorer | None = None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of each text's mentions, in order, without overlaps; positions in code points. own: each document's maker."""
+    score = scorer or model.scorer()
+    lift, bias = float(model.person[-1]) + PERSON_SHIFT, np.array([model.phone[-1], model.identity[-1]])
     unary, edges, tables, parsed = [], [], [], []
     wide = lambda t: np.pad(t, ((0, 1), (0, 1)))
-    chain, skip = wide(model.chain), wide(model.skip)
+    potentials = np.array([wide(model.chain), wide(model.skip)])
     for text, maker in zip(texts, own or [None] * len(texts)):
         nodes = nodes_of(text) if text else []
         barred = model.makers | words_of([maker]) if maker else model.makers
         base = len(unary)
         for n in nodes:
-            if n.kind == "word" and (n.text.lower() in barred or sum(map(str.isdigit, n.text)) > 1):
-                unary.append((0.0, -20.0, -60.0))
-            elif n.kind == "word":
-                z = float(model.person[_index(_features(n, model.given, True), memo)].sum() + model.person[-1]) + PERSON_SHIFT
-                if re.fullmatch(r"[A-Z]\.", n.before[0]):
-                    z += INITIAL_SHIFT / 2 if n.before[0] == "M." else INITIAL_SHIFT
+            if n.kind == "word":
+                t = n.text
+                if t.lower() in barred or len(t) > 1 and sum(map(str.isdigit, t)) > 1:
+                    unary.append((0.0, -20.0, -60.0))
+                    continue
+                z = score(n) + lift
+                b = n.before[0]
+                if len(b) == 2 and b[1] == "." and "A" <= b[0] <= "Z":
+                    z += INITIAL_SHIFT / 2 if b == "M." else INITIAL_SHIFT
                 unary.append((0.0, z, -60.0))
             elif n.kind == "number":
-                at = _index(_features(n, model.given, True), memo)
-                unary.append((0.0, float(model.phone[at].sum() + model.phone[-1]), float(model.identity[at].sum() + model.identity[-1])))
+                z = score(n) + bias
+                unary.append((0.0, float(z[0]), float(z[1])))
             else:
                 unary.append((0.0, 5.0, -60.0))
-        for a, b in chain_pairs(nodes, text) if nodes else ():
-            edges.append((base + a, base + b))
-            tables.append(chain)
-        for a, b in skip_pairs(nodes):
-            edges.append((base + a, base + b))
-            tables.append(skip)
+        if nodes:
+            chain, skip = chain_pairs(nodes, text), skip_pairs(nodes)
+            edges += [(base + a, base + b) for a, b in chain] + [(base + a, base + b) for a, b in skip]
+            tables += [0] * len(chain) + [1] * len(skip)
         parsed.append((base, nodes))
-    beliefs = infer(np.array(unary).reshape(-1, 3), np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(tables).reshape(-1, 3, 3))
+    beliefs = infer(np.array(unary).reshape(-1, 3), np.array(edges, dtype=np.int64).reshape(-1, 2), potentials[np.array(tables, dtype=np.int64)])
     best = beliefs.argmax(axis=1)
     return [_spans(text, nodes, best[base : base + len(nodes)]) for text, (base, nodes) in zip(texts, parsed)]
 
@@ -419,10 +507,12 @@ def _turned(run: list[Node]) -> bool:
 
 def fit_model(docs: DataFrame, first_names: DataFrame, canon: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model from a bounded sample of docs (doc_id, text), chosen by hash, the list of given names and the makers of the reference list."""
-    chosen = docs.filter("length(text) > 0").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs)
-    names = [r.first_name for r in first_names.select("first_name").limit(100_000).collect() if r.first_name]
-    makers = [n for r in canon.filter("kind = 'mfr'").limit(100_000).collect() for n in (r.name, *(r.aliases or [])) if n]
-    return train([r.text for r in chosen.collect()], names, words_of(makers))
+    chosen = docs.filter("length(text) > 0").select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs)
+    lists = [first_names.filter("first_name is not null").select("first_name"), canon.filter("kind = 'mfr'").select("name", "aliases")]
+    names, makers = ([tuple(r) for r in rows.limit(LIST_ROWS + 1).collect()] for rows in lists)
+    if max(len(names), len(makers)) > LIST_ROWS:
+        raise ValueError(f"the lists of given names and of makers may have {LIST_ROWS} rows at most")
+    return train([r.text for r in chosen.collect()], [n for (n,) in names], words_of([n for name, aliases in makers for n in (name, *(aliases or [])) if n]))
 
 
 def find_personal(docs: DataFrame, model: Model) -> DataFrame:
@@ -433,13 +523,13 @@ def find_personal(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        scorer = model.scorer()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
         for batch in batches:
             # slices keep the nodes that are in memory few, however long the texts
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = mentions(part.column(1).to_pylist(), model, memo, part.column(2).to_pylist())
+                found = mentions(part.column(1).to_pylist(), model, part.column(2).to_pylist(), scorer)
                 lists = [[{"kind": k, "start_pos": s, "end_pos": e} for k, s, e in f] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, kind)], names=["doc_id", "text", "mentions"])
 

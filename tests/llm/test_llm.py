@@ -215,7 +215,7 @@ def model():
 
 
 def found(model, text):
-    return {(k, text[a:b]) for k, a, b in personal.mentions([text], model, {})[0]}
+    return {(k, text[a:b]) for k, a, b in personal.mentions([text], model)[0]}
 
 
 def test_personal_information(model):
@@ -242,6 +242,32 @@ def test_skip_edges_spread_a_label():
     assert list(personal.infer(unary, edge, table).argmax(1)) == [1, 1]
 
 
+def test_messages_settle_or_say_so(monkeypatch):
+    import warnings
+
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    unary, edges = rnd.normal(size=(40, 3)), rnd.integers(0, 40, size=(60, 2))
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    table = np.broadcast_to(np.array([[1.0, -1.0, 0], [-1.0, 1.5, 0], [0, 0, 0]]), (len(edges), 3, 3))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        settled = personal.infer(unary, edges, table)
+    monkeypatch.setattr(personal, "TOLERANCE", 1e-6)
+    assert np.abs(settled - personal.infer(unary, edges, table)).max() < 0.1
+    monkeypatch.setattr(personal, "ROUNDS", 2)
+    with pytest.warns(UserWarning, match="settled"):
+        personal.infer(unary, edges, table)
+
+
+def test_left_out_alternatives_never_match():
+    whole = personal._CHUNKS[True]
+    texts = ["Mail a.b at lab dot example to 12 Old Mill Lane", "x@y.example", "Mühlgasse 7b und Calle Mayor 3", "12 bis rue de la Paix", "Am Hang 4, Tel +49 30 23125 444", "C/ Real, 5", "nothing (at) all", "St. John"]
+    spans = lambda p, t: [(m.lastgroup, m.span()) for m in p.finditer(t)]
+    assert all(spans(personal._chunks(t), t) == spans(whole, t) for t in texts)
+
+
 def test_redact(spark, model):
     docs = spark.createDataFrame([(1, "Ask a.b@c.example now 🎉 d@e.example", None), (2, None, None), (3, "", "x"), (4, "nothing here", None)], "doc_id long, text string, mfr string")
     f = personal.find_personal(docs, model)
