@@ -31,7 +31,12 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, columns: list[str], share: float) -> DataFrame:
-    """(column, n, lo, hi, at_share): exact order statistic at index min(n - 1, floor(n x share)).
+    """(column, n, lo, hi, at_share): exact order statistic at index min(n - 1, floor(n x share))."""
+    return nearest_ranks(df, columns, [share]).withColumn("at_share", F.col("at_share")[0])
+
+
+def nearest_ranks(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, n, lo, hi, at_share): exact order statistics at the indexes min(n - 1, floor(n x share)), in one pass for all shares.
 
     Distinct values are counted first, so the ordering works on distinct values, not rows, and the
     ranks come from cumulative counts per column over range-partitioned blocks of values.
@@ -47,9 +52,8 @@ def nearest_rank(df: DataFrame, columns: list[str], share: float) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("bk").over(up), F.lit(0))).withColumn("n", F.sum("bk").over(Window.partitionBy("column")))
     inside = Window.partitionBy("column", "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("k").over(inside)).join(sums.select("column", "block", "before", "n"), ["column", "block"])
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * share))
     last, first = F.col("before") + F.col("upto"), F.col("before") + F.col("upto") - F.col("k")
-    return ranked.groupBy("column").agg(F.first("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.when((first <= at) & (at < last), F.col("v"))).alias("at_share"))
+    return ranked.groupBy("column").agg(F.first("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.array(*[F.max(F.when((first <= at) & (at < last), F.col("v"))) for at in (F.least(F.col("n") - 1, F.floor(F.col("n") * s)) for s in shares)]).alias("at_share"))
 
 
 def slider_ranges(df: DataFrame, columns: list[str], sliders: list[str]) -> DataFrame:

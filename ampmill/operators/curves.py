@@ -124,12 +124,12 @@ def verdict_tally(rows: DataFrame, key: str, col: str) -> DataFrame:
 
 def error_stats(errors: DataFrame, col: str) -> DataFrame:
     """One row: n, median (sorted[n // 2]), p90 (sorted[int(0.9 n)]), q1, q3 and mean of an error column."""
-    from ampmill.operators.catalogue import nearest_rank
+    from ampmill.operators.catalogue import nearest_ranks
 
-    out = errors.agg(F.count(col).alias("n"), F.avg(col).alias("bias"))
-    for name, share in (("median", 0.5), ("p90", 0.9), ("q1", 0.25), ("q3", 0.75)):
-        out = out.crossJoin(nearest_rank(errors, [col], share).select(F.col("at_share").alias(name)))
-    return out
+    shares = {"median": 0.5, "p90": 0.9, "q1": 0.25, "q3": 0.75}
+    ranks = nearest_ranks(errors, [col], list(shares.values()))
+    # one row each
+    return errors.agg(F.count(col).alias("n"), F.avg(col).alias("bias")).crossJoin(F.broadcast(ranks.select(*[F.col("at_share")[i].alias(name) for i, name in enumerate(shares)])))
 
 
 def words_from_chars(chars: DataFrame, page: list[str]) -> DataFrame:

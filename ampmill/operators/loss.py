@@ -41,6 +41,11 @@ def round_sig(c: Column, n: int) -> Column:
     return F.when(c == 0, c).otherwise(F.round(c * scale) / scale)
 
 
+def resistance_at(rds: Column, tj: Column) -> Column:
+    """Channel resistance at a junction temperature (H3): hot where it isn't known, as given at 25 °C, null at any other."""
+    return F.when(tj.isNull(), rds * HOT_RDS).when(tj == 25, rds)
+
+
 def vds_in_range(vds: Column) -> Column:
     """Rated voltage fits the input voltage; invalid and missing ratings pass."""
     fits = ~(vds < F.col("vi") * 1.1) & ~(vds > F.greatest(F.lit(50.0), F.col("vi") * 3))

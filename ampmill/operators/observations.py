@@ -75,23 +75,75 @@ def fold(obs: DataFrame, keys: list[str]) -> DataFrame:
     """One fused record (keys, vmin, vtyp, vmax) per key from observations in order ord.
 
     The first observation is the record; a later one fills a missing statistic if it is not below the
-    statistic under it at that time (0 for charges). In place of an ordered fold over a collected list,
+    statistic under it at that time (0 for charges). A charge of 0 doesn't stand: whatever the next
+    observation has, even nothing, takes its place. In place of an ordered fold over a collected list,
     each statistic is the earliest acceptable one, given the time at which the one under it was set:
     three aggregations with partial (map-side) combination, so a key of any size never meets in one task.
-    Nulls are missing; a zero of a charge counts as missing; equal ord values count as one observation's.
+    Only keys that hold a 0 of a charge have their rows put in order, for what follows a 0. Nulls are
+    missing; equal ord values count as one observation's.
     """
-    zero = F.col("symbol").isin(*NOT_ZERO)
-    o = obs.select(*keys, "ord", *[F.when(zero & (F.col(s) == 0), None).otherwise(F.col(s)).alias(s) for s in STATS], F.when(zero, 0.0).otherwise(F.lit(float("-inf"))).alias("base"))
-    first = lambda s, ok: F.min(F.when(ok, F.struct("ord", s)))
-    a = o.groupBy(*keys).agg(F.min("ord").alias("t0"), first("vmin", F.col("vmin").isNotNull()).alias("any"), first("vmin", F.col("vmin") >= F.col("base")).alias("ok"))
-    a = a.select(*keys, "t0", F.when(F.col("any.ord") == F.col("t0"), F.col("any")).otherwise(F.col("ok")).alias("m"))
+    nz = F.col("symbol").isin(*NOT_ZERO)
+    o = obs.select(*keys, "ord", *STATS, F.when(nz, 0.0).otherwise(F.lit(float("-inf"))).alias("base"))
+    zero = lambda s: (F.col("base") == 0) & F.coalesce(F.col(s) == 0, F.lit(False))
+    known = o.groupBy(*keys).agg(F.min("ord").alias("t0"), F.max(zero("vmin") | zero("vtyp") | zero("vmax")).alias("z"))
+    o = o.join(known, keys)
+    w = Window.partitionBy(*keys).orderBy("ord")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    follows, starts, nothing = {}, {}, {}
+    for s in STATS:
+        begins = F.when(zero(s) & ~F.coalesce(F.lag(zero(s)).over(w), F.lit(False)), F.col("ord"))
+        starts[f"{s}_begins"] = begins
+        follows[f"{s}_after0"] = F.coalesce(F.lag(zero(s)).over(w), F.lit(False))
+        nothing |= {f"{s}_after0": F.lit(False), f"{s}_begins": F.lit(None).cast("long"), f"{s}_run": F.lit(None).cast("long")}
+    with_zero = o.filter("z").withColumns({**follows, **starts})
+    # the run of zeros that ends right before a row or with it
+    with_zero = with_zero.withColumns({f"{s}_run": F.coalesce(f"{s}_begins", F.last(f"{s}_begins", True).over(before)) for s in STATS})
+    # for a run of the largest statistic, what the typical one was where it began
+    typ_then = F.when(F.col("vmax_begins").isNotNull(), F.struct(zero("vtyp").alias("zero"), F.col("vtyp_run").alias("run")))
+    with_zero = with_zero.withColumn("__then", typ_then).withColumn("typ_then", F.coalesce("__then", F.last("__then", True).over(before))).drop("__then")
+    nothing["typ_then"] = F.lit(None).cast("struct<zero:boolean,run:bigint>")
+    o = with_zero.unionByName(o.filter("not z").withColumns(nothing))
+
+    def first(s: str, fits: Column, after_run: Column) -> Column:
+        ok = F.col(s).isNotNull() & ~zero(s) & ((F.col("ord") == F.col("t0")) | fits | (F.col(f"{s}_after0") & after_run))
+        return F.min(F.when(ok, F.struct("ord", s)))
+
+    # a run of zeros stands if its first one does: as first observation, or where nothing above 0 lies under it
+    under = lambda s, at: F.coalesce((F.col(f"{s}.ord") <= at), F.lit(False))
+    a = o.groupBy(*keys).agg(first("vmin", F.col("vmin") >= F.col("base"), F.lit(True)).alias("m"), F.max(F.struct("ord", zero("vmin").alias("zero"))).alias("m_end"))
     j = o.join(a, keys)
-    under = F.when(F.col("m.ord") <= F.col("ord"), F.col("m.vmin")).otherwise(F.col("base"))
-    b = j.groupBy(*keys).agg(F.min("t0").alias("t0"), F.min("m").alias("m"), first("vtyp", F.col("vtyp").isNotNull() & ((F.col("ord") == F.col("t0")) | (F.col("vtyp") >= under))).alias("t"))
+    low = F.when(under("m", F.col("ord")), F.col("m.vmin")).otherwise(F.col("base"))
+    typ_stands = lambda run: F.coalesce(run == F.col("t0"), F.lit(False)) | ~(under("m", run) & (F.col("m.vmin") > 0))
+    stands_t = typ_stands(F.col("vtyp_run"))
+    b = j.groupBy(*keys).agg(first("vtyp", F.col("vtyp") >= low, stands_t).alias("t"), F.min("m").alias("m"), F.min("m_end").alias("m_end"), F.max(F.struct("ord", (zero("vtyp") & stands_t).alias("zero"))).alias("t_end"))
     j = o.join(b, keys)
-    under = F.when(F.col("t.ord") <= F.col("ord"), F.col("t.vtyp")).when(F.col("m.ord") <= F.col("ord"), F.col("m.vmin")).otherwise(F.col("base"))
-    c = j.groupBy(*keys).agg(F.min("m").alias("m"), F.min("t").alias("t"), first("vmax", F.col("vmax").isNotNull() & ((F.col("ord") == F.col("t0")) | (F.col("vmax") >= under))).alias("x"))
-    return c.select(*keys, F.col("m.vmin").alias("vmin"), F.col("t.vtyp").alias("vtyp"), F.col("x.vmax").alias("vmax"))
+    low = F.when(under("t", F.col("ord")), F.col("t.vtyp")).when(zero("vtyp") & stands_t, 0.0).when(under("m", F.col("ord")), F.col("m.vmin")).otherwise(F.col("base"))
+    at_run = F.when(under("t", F.col("vmax_run")), F.col("t.vtyp")).when(F.coalesce("typ_then.zero", F.lit(False)) & typ_stands(F.col("typ_then.run")), 0.0).when(under("m", F.col("vmax_run")), F.col("m.vmin")).otherwise(0.0)
+    stands_x = F.coalesce(F.col("vmax_run") == F.col("t0"), F.lit(False)) | (at_run <= 0)
+    c = j.groupBy(*keys).agg(first("vmax", F.col("vmax") >= low, stands_x).alias("x"), *[F.min(n).alias(n) for n in ("m", "m_end", "t", "t_end")], F.max(F.struct("ord", (zero("vmax") & stands_x).alias("zero"))).alias("x_end"))
+    # a 0 that came last is the record's
+    return c.select(*keys, *[F.coalesce(F.col(f"{n}.{s}"), F.when(F.col(f"{n}_end.zero"), 0.0)).alias(s) for n, s in (("m", "vmin"), ("t", "vtyp"), ("x", "vmax"))])
+
+
+def accessor(*order: str) -> Column:
+    """The first statistic that is there, in a given order of min, typ and max."""
+    return F.coalesce(*[F.col(f"v{s}") for s in order])
+
+
+def richest_first(obs: DataFrame) -> DataFrame:
+    """Observations with ord such that those with more statistics come first, then as before."""
+    present = sum(F.when(F.col(s).isNotNull(), 1).otherwise(0) for s in STATS)
+    return obs.withColumn("ord", (3 - present).cast("long") * 10**15 + F.col("ord"))
+
+
+def report_row(fused: DataFrame, key: str) -> DataFrame:
+    """One report row per part (E8): the resistance at 10 V, else the plain one; the current at 25 °C, else the plain one."""
+    of = lambda symbol, *order: F.max(F.when(F.col("symbol") == symbol, accessor(*order)))
+    best = ("typ", "max", "min")
+    return fused.groupBy(key).agg(
+        F.coalesce(of("Rds_on_10v", "max"), of("Rds_on", "max")).alias("rds_max"), F.coalesce(of("ID_25", *best), of("Id", *best)).alias("id"), of("Vds", "max", "min").alias("vds_max"),
+        of("Qg", "max").alias("qg_max"), of("Qgs", *best).alias("qgs"), of("Qgd", *best).alias("qgd"), of("Vsd", *best).alias("vsd"), of("Qrr", "typ").alias("qrr_typ"), of("Qrr", "max").alias("qrr_max"),
+    )
 
 
 def nearest_condition(obs: DataFrame, fused: DataFrame, keys: list[str], conditions: dict[str, float], threshold: float = 0.1) -> DataFrame:
@@ -156,8 +208,8 @@ class Predicate:
         elif self.op == "~=":
             ok = F.coalesce(c.cast("string"), F.lit("")).rlike(str(self.value))
         elif self.kind in ("nan", "none"):
-            ok = c.isNotNull() if self.op == "!=" and self.kind == "nan" else c.isNull() if self.op == "!=" else F.lit(False)
-            ok = F.lit(True) if self.op == "!=" else ok
+            # nothing equals a missing value, so everything differs from it
+            ok = F.lit(self.op == "!=")
         else:
             left = c.try_cast("double") if self.kind == "num" else c
             test = {"==": left == self.value, "!=": left != self.value, "<": left < self.value, "<=": left <= self.value, ">": left > self.value, ">=": left >= self.value}[self.op]

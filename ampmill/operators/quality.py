@@ -1,4 +1,4 @@
-"""Refresh lists, validation reports, scoreboards, recovery sweeps and further page operators."""
+"""Refresh lists, validation reports, scoreboards, recovery sweeps and further page operators."""
 
 from __future__ import annotations
 
@@ -44,6 +44,13 @@ def scoreboard(obs: DataFrame, pipeline: str, symbols: list[str]) -> DataFrame:
     return obs.groupBy(pipeline).pivot("symbol", symbols).agg(F.sum(present)).na.fill(0)
 
 
+def equal_scoreboard(reference: DataFrame, obs: DataFrame, pipeline: str, keys: list[str], threshold: float = 0.05) -> DataFrame:
+    """(pipeline, symbol, n_equal): values of each pipeline within the threshold of the reference record's."""
+    j = obs.alias("o").join(reference.alias("r"), keys)
+    near = lambda s: F.when(F.try_divide(F.abs(F.col(f"o.{s}") - F.col(f"r.{s}")), F.abs(F.col(f"r.{s}"))) < threshold, 1).otherwise(0)
+    return j.groupBy(pipeline, "symbol").agg(F.sum(sum(near(s) for s in ("vmin", "vtyp", "vmax"))).alias("n_equal"))
+
+
 def shares(losses: DataFrame, group: str, col: str) -> DataFrame:
     """Each row's percentage of its group and of the whole (G11): two small aggregates joined back."""
     g = losses.groupBy(group).agg(F.sum(col).alias("group_sum"))
@@ -58,25 +65,29 @@ def fom_qrr_at(df: DataFrame) -> DataFrame:
 
 
 def tau_exponent(rows: DataFrame, key: str, lo: float = 0.0, hi: float = 5.0) -> DataFrame:
-    """Exponent of the lifetime over temperature that fits a part's charges best (H21): golden section over the summed squared log error, one small group per part.
+    """Exponent of the lifetime over temperature that fits a part's charges best.
 
-    rows has tj, qrr_ratio (charge over the one at 25 °C), taken to grow as the lifetime does.
+    rows has tj and qrr_ratio (charge over the one at 25 °C), taken to grow as the lifetime does. The
+    summed squared log error is a parabola in the exponent, so its least value within lo..hi needs two
+    sums. Missing, not positive and absurd rows don't count; points is the number of those that do; null
+    where no row tells anything.
     """
+    x, y = F.log(F.when(F.col("tj") > -273.15, (F.col("tj") + 273.15) / 298.15)), F.log(F.when(F.col("qrr_ratio") > 0, F.col("qrr_ratio")))
+    ok = x.isNotNull() & y.isNotNull()
+    g = rows.groupBy(key).agg(F.sum(F.when(ok, x * y)).alias("xy"), F.sum(F.when(ok, x * x)).alias("xx"), F.count_if(ok).alias("points"))
+    slope = F.try_divide("xy", "xx")
+    return g.select(key, F.when(slope.isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(lo), slope))).alias("n_tau"), "points")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        x = np.log((pdf["tj"].to_numpy(dtype=float) + 273.15) / 298.15)
-        y = np.log(pdf["qrr_ratio"].to_numpy(dtype=float))
-        ok = np.isfinite(x) & np.isfinite(y)
-        err = lambda n: float(((y[ok] - n * x[ok]) ** 2).sum())
-        a, b, g = lo, hi, (5**0.5 - 1) / 2
-        for _ in range(80):
-            c, d = b - g * (b - a), a + g * (b - a)
-            a, b = (a, d) if err(c) < err(d) else (c, b)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_tau": [(a + b) / 2 if ok.any() else None], "points": [int(ok.sum())]})
+def resolved_exponent(parts: DataFrame, measured: DataFrame, key: str, family: str, least_points: int = 3, conservative: float = recovery.N_TAU) -> DataFrame:
+    """(key, n_tau, state) for each part (H16): the measured fit where it rests on enough points, else the mean of the family's, else the conservative value.
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_tau double, points long")
+    state is 'measured', 'family' or 'conservative'. A null family has no pool.
+    """
+    own = parts.select(key, family).join(measured.filter(F.col("points") >= least_points).select(key, F.col("n_tau").alias("own")), key, "left")
+    pool = own.filter(F.col("own").isNotNull() & F.col(family).isNotNull()).groupBy(family).agg(F.avg("own").alias("pooled"))
+    j = own.join(pool, family, "left")
+    return j.select(key, F.coalesce("own", "pooled", F.lit(conservative)).alias("n_tau"), F.when(F.col("own").isNotNull(), "measured").when(F.col("pooled").isNotNull(), "family").otherwise("conservative").alias("state"))
 
 
 # Quantity of a symbol by its beginning, the first that fits wins.

@@ -14,9 +14,27 @@ from ampmill.operators.observations import field_value
 
 # Condition names as printed (lower case, without blanks) and the canonical symbol.
 CONDITION_NAMES = {
-    "Vds": "vds vdd vr vcc vbus vdr vpp", "Vgs": "vgs vge ves", "Vgen": "vgen", "I": "if is isd idr i_f i geif", "Id": "id ids aid ic",
-    "di/dt": "di/dt didt dif/dt dis/dt didr/dt disd/dt dt d/dt f/dt dr/dt", "dv/dt": "dv/dt", "Tj": "tj tvj thj", "Tc": "tc", "Ta": "ta", "Tmb": "tmb",
-    "Rg": "rg rgs", "Rg_on": "rgon rg_on", "Rg_off": "rgoff rg_off", "Rg_ext": "rgext rg_ext rg(ext)", "RL": "rl", "Rgen": "rgen", "f": "f frequency", "tdead": "tdead", "Ig": "ig", "Ls": "ls",
+    "Vds": ["vds", "vdd", "vr", "vcc", "vbus", "vdr", "vpp"],
+    "Vgs": ["vgs", "vge", "ves"],
+    "Vgen": ["vgen"],
+    "I": ["if", "is", "isd", "idr", "i_f", "i", "geif"],
+    "Id": ["id", "ids", "aid", "ic"],
+    "di/dt": ["di/dt", "didt", "dif/dt", "dis/dt", "didr/dt", "disd/dt", "dt", "d/dt", "f/dt", "dr/dt"],
+    "dv/dt": ["dv/dt"],
+    "Tj": ["tj", "tvj", "thj"],
+    "Tc": ["tc"],
+    "Ta": ["ta"],
+    "Tmb": ["tmb"],
+    "Rg": ["rg", "rgs"],
+    "Rg_on": ["rgon", "rg_on"],
+    "Rg_off": ["rgoff", "rg_off"],
+    "Rg_ext": ["rgext", "rg_ext", "rg(ext)"],
+    "RL": ["rl"],
+    "Rgen": ["rgen"],
+    "f": ["f", "frequency"],
+    "tdead": ["tdead"],
+    "Ig": ["ig"],
+    "Ls": ["ls"],
 }
 # Makers by the beginning of their name, the first that fits wins.
 MAKER_TAGS = [
@@ -26,13 +44,37 @@ MAKER_TAGS = [
     ("jscj", "jiangsu changjing"), ("slkor", "slkor"), ("wuxi", "wuxi unigroup micro"), ("winsok", "winsok"), ("epc_space", "epc space"), ("goford", "goford"),
     ("littelfuse", "littelfuse"), ("littelfuse", "ixys"), ("onsemi", "onsemi"), ("onsemi", "fairchild"), ("analog_power", "analog power"), ("hxy", "hxy mosfet"),
 ]
-# Housing families as "name: beginnings of the compact form", the first that fits wins; compact is upper case without blanks, dashes and dots.
+# Housing families (makers' and JEDEC names as printed in data sheets) with the beginnings of their compact form, the first that fits wins; compact is upper case without blanks, dashes and dots.
 HOUSING_FAMILIES = [
-    ("TO-247-4", "TO2474"), ("TO-247", "TO247 MAX247 PLUS247"), ("TO-3P", "TO3P TO264 TO268 D3PAK ISOTOP"), ("TO-220", "TO220 ITO220 FULLPAK220"), ("I2PAK", "I2PAK TO262"), ("IPAK", "IPAK TO251"),
-    ("SOT-227", "SOT227 MINIBLOC"), ("D2PAK-7", "D2PAK7 TO2636 TO2637 TO2638 TO263CA TO263CB"), ("D2PAK", "D2PAK TO263 DDPAK"), ("DPAK-4", "DPAK4 TO2524"), ("DPAK", "DPAK TO252 H2PAK2 SC63"),
-    ("TOLT", "TOLT"), ("TOLG", "TOLG MTOLG"), ("TOLL", "TOLL STOLL"), ("LFPAK88", "LFPAK88 SOT1235 DFN8X8 POWERPAK8X8 POWERFLAT8X8"), ("CCPAK", "CCPAK1212 SOT8000 SOT8005"), ("DirectFET", "DIRECTFET"),
-    ("SO-8 (5x6)", "LFPAK56 SUPERSO8 POWERPAKSO8 POWERFLAT5X6 PQFN5X6 DFN5X6 DFN85X6 PDFN56 PDFN5X6 SOT669 WSON VSONP"), ("DFN 3x3", "LFPAK33 PQFN3X3 PQFN33X33 DFN3X3 DFN33X33 DFN83X3 DFN833X33 PDFN33 POWERPAK1212 SOT1210"),
-    ("SO-8", "SO8 SOP8 SOIC8"), ("DFN 2x2", "DFN2X2 DFN62X2 POWERFLAT2X2"), ("SOT-23-6", "SOT236"), ("SOT-223", "SOT223"), ("SOT-23", "SOT23 TSOT23"), ("SOT-89", "SOT89"), ("TSOP-6", "TSOP6"), ("SOT-323", "SOT323"), ("SOT-363", "SOT343 SOT353 SOT363 SOT763"), ("SOT-523", "SOT523"),
+    ("TO-247-4", ["TO2474"]),
+    ("TO-247", ["TO247", "MAX247", "PLUS247"]),
+    ("TO-3P", ["TO3P", "TO264", "TO268", "D3PAK", "ISOTOP"]),
+    ("TO-220", ["TO220", "ITO220", "FULLPAK220"]),
+    ("I2PAK", ["I2PAK", "TO262"]),
+    ("IPAK", ["IPAK", "TO251"]),
+    ("SOT-227", ["SOT227", "MINIBLOC"]),
+    ("D2PAK-7", ["D2PAK7", "TO2636", "TO2637", "TO2638", "TO263CA", "TO263CB"]),
+    ("D2PAK", ["D2PAK", "TO263", "DDPAK"]),
+    ("DPAK-4", ["DPAK4", "TO2524"]),
+    ("DPAK", ["DPAK", "TO252", "H2PAK2", "SC63"]),
+    ("TOLT", ["TOLT"]),
+    ("TOLG", ["TOLG", "MTOLG"]),
+    ("TOLL", ["TOLL", "STOLL"]),
+    ("LFPAK88", ["LFPAK88", "SOT1235", "DFN8X8", "POWERPAK8X8", "POWERFLAT8X8"]),
+    ("CCPAK", ["CCPAK1212", "SOT8000", "SOT8005"]),
+    ("DirectFET", ["DIRECTFET"]),
+    ("SO-8 (5x6)", ["LFPAK56", "SUPERSO8", "POWERPAKSO8", "POWERFLAT5X6", "PQFN5X6", "DFN5X6", "DFN85X6", "PDFN56", "PDFN5X6", "SOT669", "WSON", "VSONP"]),
+    ("DFN 3x3", ["LFPAK33", "PQFN3X3", "PQFN33X33", "DFN3X3", "DFN33X33", "DFN83X3", "DFN833X33", "PDFN33", "POWERPAK1212", "SOT1210"]),
+    ("SO-8", ["SO8", "SOP8", "SOIC8"]),
+    ("DFN 2x2", ["DFN2X2", "DFN62X2", "POWERFLAT2X2"]),
+    ("SOT-23-6", ["SOT236"]),
+    ("SOT-223", ["SOT223"]),
+    ("SOT-23", ["SOT23", "TSOT23"]),
+    ("SOT-89", ["SOT89"]),
+    ("TSOP-6", ["TSOP6"]),
+    ("SOT-323", ["SOT323"]),
+    ("SOT-363", ["SOT343", "SOT353", "SOT363", "SOT763"]),
+    ("SOT-523", ["SOT523"]),
 ]
 # Symbols of a parameter line, the first that fits wins, with words that rule it out.
 SYMBOL_RULES = [
@@ -50,7 +92,7 @@ def condition_map(text: Column) -> Column:
     Names are matched without blanks and case, doubled V and l for i in slew rates being misreadings; of
     a longer name its shortest known ending counts. Unknown names are dropped; null and '' give an empty map.
     """
-    aliases = [x for sym, names in CONDITION_NAMES.items() for n in names.split() for x in (F.lit(n), F.lit(sym))]
+    aliases = [x for sym, names in CONDITION_NAMES.items() for n in names for x in (F.lit(n), F.lit(sym))]
     # longest known ending of each name, tokens dropped from the left
     pattern = r"([A-Za-z][A-Za-z _/()]{0,24}?)\s*=\s*[-+]?[0-9]"
     value = r"[A-Za-z)]\s*=\s*([-+]?[0-9]+(?:[.,][0-9]+)?(?:[eE][-+]?[0-9]+)?)"
@@ -77,6 +119,26 @@ def scaled_assignment(text: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double") * factor
 
 
+def ensured_charge(text: Column, lo: float, hi: float, absolute: bool = False) -> Column:
+    """A charge such as "12 nC", "0.5 uC" or "12" in nC, of which the amount may count; null where it is unreadable or out of lo..hi (C11)."""
+    value = F.nullif(F.regexp_extract(text, r"^\s*([-+]?[0-9.]+)\s*(?:[nuμµ]C)?\s*$", 1), F.lit("")).try_cast("double")
+    value = F.when(text.rlike(r"[uμµ]C\s*$"), value * 1e3).otherwise(value)
+    value = F.abs(value) if absolute else value
+    return F.when(value.between(lo, hi), value)
+
+
+def ensured_resistance(text: Column, lo: float, hi: float) -> Column:
+    """A resistance such as "4.9 mOhm" or "0.0049" in Ω (also mΩ, mO and mW for misread ones); null where it is unreadable or out of lo..hi (C11)."""
+    value = F.nullif(F.regexp_extract(text, r"^\s*([-+]?[0-9.]+)\s*(?:m(?:Ohm|Ω|O|W))?\s*$", 1), F.lit("")).try_cast("double")
+    value = F.when(text.rlike(r"m(?:Ohm|Ω|O|W)\s*$"), value * 1e-3).otherwise(value)
+    return F.when(value.between(lo, hi), value)
+
+
+def sheet_path(mfr: Column, mpn: Column) -> Column:
+    """Where the sheet of a part lies (C25): slashes and blanks of its number become underscores; null where maker or number is missing."""
+    return F.concat(F.lit("datasheets/"), mfr, F.lit("/"), F.translate(mpn, "/ ", "__"), F.lit(".pdf"))
+
+
 def maker_tag(name: Column) -> Column:
     """Tag of a maker by the beginning of its name, else the name with blanks as underscores."""
     low = F.lower(name)
@@ -87,7 +149,7 @@ def housing_family(raw: Column) -> Column:
     """Family of a housing by its compact form; empty marks are null, unknown ones stay as typed."""
     clean = F.trim(F.regexp_replace(F.translate(F.regexp_replace(raw, r"&times;|&#215;", "x"), "×‐‑–—", "x----"), r"\s+", " "))
     compact = F.upper(F.regexp_replace(clean, r"[\s.\-()_]", ""))
-    rules = [F.when(reduce(lambda a, b: a | b, [compact.startswith(s) for s in starts.split()]), F.lit(name)) for name, starts in HOUSING_FAMILIES]
+    rules = [F.when(reduce(lambda a, b: a | b, [compact.startswith(s) for s in starts]), F.lit(name)) for name, starts in HOUSING_FAMILIES]
     return F.when(F.lower(clean).isin("", "-", "--", "nan", "die form", "bare die", "die"), None).otherwise(F.coalesce(*rules, clean))
 
 

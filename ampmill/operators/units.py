@@ -35,7 +35,9 @@ OTHER_THAN_WRITTEN, OTHER_THAN_COMMON, SWITCH = -7.0, -9.0, -2.0
 STRAY, STRAY_DENSITY, LEAST_DEVIATION = 1e-5, 0.1, 0.15
 #: Chains with more than one in this many numbers are hot: their levels are broadcast.
 HOT_SHARE = 2_000
+#: What makes a chain (its hash is the key); what is kept of a row.
 CHAIN = ["mfr", "mpn", "symbol"]
+KEPT = ["row_id", "symbol", "stat", "printed", "written", "source"]
 
 
 def _dimension(symbol_units: DataFrame) -> DataFrame:
@@ -101,97 +103,110 @@ def _evidence(rows: DataFrame, text_rows: DataFrame, symbol_units: DataFrame) ->
     return both.select("row_id", "text_row_id", "mfr", "mpn", "symbol", "stat", "printed", written.alias("written"), source.alias("source"))
 
 
-def _levels(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chains, symbols) of evidence rows: what is known of the level, in decades of the common unit.
+def _levels(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(chains, symbols, total) of evidence rows: what is known of the level, in decades of the common unit.
 
-    chains: (mfr, mpn, symbol, n, s, numbers), count and sum of the sure logarithms; symbols: (symbol, mu,
-    between, within, uses), the mean over all devices, the variances between and within devices, and how
-    often each unit was read.
+    chains: (chain, n, s, numbers), count and sum of the sure logarithms; symbols: (symbol, mu, between,
+    within, uses), the mean over all devices, the variances between and within devices, and how often
+    each unit was read; total: the number of rows.
     """
-    sure = F.when(F.abs("sure") < 1e11, F.log10(F.when(F.abs("sure") > 1e-11, F.abs("sure"))))
-    chains = materialize(e.groupBy(*CHAIN).agg(F.count(sure).alias("n"), F.coalesce(F.sum(sure), F.lit(0.0)).alias("s"), F.coalesce(F.sum(sure * sure), F.lit(0.0)).alias("ss"), F.count(F.lit(1)).alias("numbers")), "unit-levels")
+    sure = _decades_of("sure")
+    chains = materialize(e.groupBy("chain", "symbol").agg(F.count(sure).alias("n"), F.coalesce(F.sum(sure), F.lit(0.0)).alias("s"), F.coalesce(F.sum(sure * sure), F.lit(0.0)).alias("ss"), F.count(F.lit(1)).alias("numbers")), "unit-levels")
     own = F.coalesce(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.lit(0.0))
-    spread = chains.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(own).alias("own"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("free"))
+    spread = chains.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(own).alias("own"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("free"), F.sum("numbers").alias("numbers"))
     mu, within = F.try_divide("s", "n"), F.greatest(F.lit(LEAST_DEVIATION**2), F.coalesce(F.try_divide("own", "free"), F.lit(0.0)))
-    spread = spread.select("symbol", F.coalesce(mu, F.lit(0.0)).alias("mu"), within.alias("within"), F.greatest(F.lit(LEAST_DEVIATION**2), F.coalesce(F.try_divide("ss", "n") - mu * mu, F.lit(9.0)) - within).alias("between"))
+    spread = spread.select("symbol", "numbers", F.coalesce(mu, F.lit(0.0)).alias("mu"), within.alias("within"), F.greatest(F.lit(LEAST_DEVIATION**2), F.coalesce(F.try_divide("ss", "n") - mu * mu, F.lit(9.0)) - within).alias("between"))
+    uses = e.filter("read is not null").groupBy("symbol", "read").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("read", "n"))).alias("uses"))
     # a few dozen rows: symbols by their units
-    uses = e.filter("is is not null").groupBy("symbol", "is").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("is", "n"))).alias("uses"))
-    return chains.select(*CHAIN, "n", "s", "numbers"), spread.join(uses, "symbol", "left")
+    symbols = materialize(spread.join(uses, "symbol", "left"), "unit-symbols")
+    return chains.select("chain", "n", "s", "numbers"), symbols.drop("numbers"), symbols.agg(F.sum("numbers")).first()[0] or 0
 
 
-def _with_level(e: DataFrame, chains: DataFrame) -> DataFrame:
+def _decades_of(name: str) -> Column:
+    """The decimal logarithm of an amount; null for zeros and absurd ones."""
+    amount = F.abs(name)
+    return F.when((amount > 1e-11) & (amount < 1e11), F.log10(amount))
+
+
+def _with_level(e: DataFrame, chains: DataFrame, total: int) -> DataFrame:
     """e with its chain's n and s. Hot chains' levels are broadcast (at most HOT_SHARE of them), the others joined by shuffle."""
-    total = chains.agg(F.sum("numbers")).first()[0] or 0
-    hot = chains.filter(F.col("numbers") > max(total // HOT_SHARE, 1_000))
-    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CHAIN]
-    near = e.alias("e").join(F.broadcast(hot.alias("h")), same, "left").select("e.*", F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
-    cold = chains.filter(F.col("numbers") <= max(total // HOT_SHARE, 1_000))
-    rest = near.filter("hn is null").alias("e").join(cold.alias("h"), same, "left").select("e.*", "h.n", "h.s")
-    return near.filter("hn is not null").withColumn("n", F.col("hn")).withColumn("s", F.col("hs")).unionByName(rest).drop("hn", "hs")
-
-
-def _emissions(e: DataFrame) -> DataFrame:
-    """e with emission: the log-probability of what is written and printed under each unit of the symbol."""
-    decades = lambda factor, shift: F.log10(F.greatest(F.abs(F.col("printed") * factor + shift), F.lit(1e-12)))
+    hot = F.col("numbers") > max(total // HOT_SHARE, 1_000)
+    near = chains.filter(hot).select("chain", F.col("n").alias("hn"), F.col("s").alias("hs"))
+    e = e.join(F.broadcast(near), "chain", "left")
+    cold = e.filter("hn is null").drop("hn", "hs").join(chains.filter(~hot).drop("numbers"), "chain")
+    return e.filter("hn is not null").withColumnsRenamed({"hn": "n", "hs": "s"}).unionByName(cold)
+
+
+def _weighed(e: DataFrame) -> DataFrame:
+    """e with state (of a certain row) or emission (of another): the log-probabilities of what is written and printed under each unit.
+
+    A row is certain if its best unit leads by two switches: leaving that unit for this row alone can't
+    pay. Where the printed number lies near the level in the written unit (or, without one, in the common
+    unit), that is told without weighing the others, none of which can fit better than a hit of the level.
+    """
+    n, s = F.col("n") - _decades_of("sure").isNotNull().cast("long"), F.col("s") - F.coalesce(_decades_of("sure"), F.lit(0.0))
     # a row doesn't vouch for itself
-    own = F.when((F.abs("sure") < 1e11) & (F.abs("sure") > 1e-11), F.log10(F.abs("sure")))
-    n, s = F.col("n") - own.isNotNull().cast("long"), F.col("s") - F.coalesce(own, F.lit(0.0))
     sureness = 1 / F.col("between") + n / F.col("within")
     e = e.withColumn("level", (F.col("mu") / F.col("between") + s / F.col("within")) / sureness).withColumn("variance", F.col("within") + 1 / sureness)
-    all_uses = F.aggregate(F.map_values(F.coalesce("uses", F.create_map().cast("map<struct<odd:boolean,factor:double,shift:double>,bigint>"))), F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-    def emission(u: Column) -> Column:
-        far = decades(u["factor"], u["shift"]) - F.col("level")
-        fits = F.log((1 - STRAY) * F.exp(-far * far / (2 * F.col("variance"))) / F.sqrt(2 * math.pi * F.col("variance")) + STRAY * STRAY_DENSITY)
-        often = F.log((F.coalesce(F.col("uses")[u], F.lit(0)) + 0.5) / (all_uses + 0.5 * F.size("units")))
-        written = F.when(u == F.col("is"), 0.0).otherwise(OTHER_THAN_WRITTEN)
-        return F.when(F.col("is").isNotNull(), written).when(F.col("source") == "none", F.when(u["odd"], OTHER_THAN_COMMON).otherwise(0.0)).otherwise(often) + F.when(F.col("printed") == 0, 0.0).otherwise(fits)
-
-    return e.withColumn("emission", F.transform("units", emission))
+    none, zero = F.col("source") == "none", F.col("printed") == 0
+    other = F.when(F.col("read").isNotNull(), OTHER_THAN_WRITTEN).when(none, OTHER_THAN_COMMON)
+    far = _decades_of("sure") - F.col("level")
+    near = F.coalesce(zero | (far * far / (2 * F.col("variance")) <= -other + 2 * SWITCH), F.lit(False))
+    all_uses = F.aggregate(F.map_values(F.coalesce("uses", F.create_map().cast("map<int,bigint>"))), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    def emission(u: Column, k: Column) -> Column:
+        off = F.log10(F.greatest(F.abs(F.col("printed") * u["factor"] + u["shift"]), F.lit(1e-12))) - F.col("level")
+        fits = F.log((1 - STRAY) * F.exp(-off * off / (2 * F.col("variance"))) / F.sqrt(2 * math.pi * F.col("variance")) + STRAY * STRAY_DENSITY)
+        often = F.log((F.coalesce(F.try_element_at("uses", k.cast("int")), F.lit(0)) + 0.5) / (all_uses + 0.5 * F.size("units")))
+        written = F.when(F.col("read").isNotNull(), F.when(k == F.col("read"), 0.0).otherwise(OTHER_THAN_WRITTEN)).when(none, F.when(u["odd"], OTHER_THAN_COMMON).otherwise(0.0)).otherwise(often)
+        return written + F.when(zero, 0.0).otherwise(fits)
+
+    told = near & other.isNotNull()
+    e = e.withColumn("state", F.when(told, F.coalesce("read", F.lit(0)))).withColumn("emission", F.when(~told, F.transform("units", emission)))
+    top = F.array_max("emission")
+    lead = top - F.coalesce(F.array_max(F.filter("emission", lambda x: x < top)), F.lit(-1e9))
+    alone = F.size(F.filter("emission", lambda x: x == top)) == 1
+    certain = F.coalesce(F.col("emission").isNotNull() & alone & (lead >= -2 * SWITCH), F.lit(False))
+    return e.withColumn("state", F.when(certain, (F.array_position("emission", top) - 1).cast("int")).otherwise(F.col("state")))
 
 
 def _pieces(e: DataFrame) -> DataFrame:
     """e with piece and entry: the block in which a row is decoded, and the certain unit before its first row (null at a chain's start).
 
-    A row is certain if its best unit leads by two switches: leaving that unit for this row alone can't pay.
     Rows behind their block's last certain row go to the next block that has one.
     """
-    top = F.array_max("emission")
-    lead = top - F.coalesce(F.array_max(F.filter("emission", lambda x: x < top)), F.lit(-1e9))
-    tied = F.size(F.filter("emission", lambda x: x == top)) > 1
-    e = e.withColumn("certain", ~tied & (lead >= -2 * SWITCH)).withColumn("block", F.floor(F.col("text_row_id") / BLOCK)).withColumn("at", F.struct("text_row_id", "row_id", "stat"))
-    last = F.max(F.when(F.col("certain"), F.struct("at", (F.array_position("emission", top) - 1).alias("state"))))
-    blocks = e.groupBy("chain", "block").agg(last.alias("last"))
+    e = e.withColumn("block", F.floor(F.col("text_row_id") / BLOCK)).withColumn("at", F.struct("text_row_id", "row_id", "stat"))
+    blocks = e.groupBy("chain", "block").agg(F.max(F.when(F.col("state").isNotNull(), F.struct("at", "state"))).alias("last"))
     of = Window.partitionBy("chain").orderBy("block")
-    # only chains that lie in several blocks have cuts
     before = F.last("last.state", True).over(of.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(F.col("last").isNotNull(), F.col("block")), True).over(of.rowsBetween(1, Window.unboundedFollowing))
     final = F.max("block").over(Window.partitionBy("chain"))
-    cuts = blocks.select("chain", "block", "last", before.alias("entry"), F.coalesce(after, final).alias("next"), F.count(F.lit(1)).over(Window.partitionBy("chain")).alias("pieces")).filter("pieces > 1")
-    cuts = cuts.select("chain", "block", F.col("last.at").alias("until"), F.col("last.state").alias("left"), "entry", "next")
-    e = e.join(cuts, ["chain", "block"], "left")
-    moved = F.col("next").isNotNull() & (F.col("until").isNull() | (F.col("at") > F.col("until"))) & (F.col("next") > F.col("block"))
+    cuts = blocks.select("chain", "block", F.col("last.at").alias("until"), F.col("last.state").alias("left"), before.alias("entry"), F.coalesce(after, final).alias("next"))
+    e = e.join(cuts, ["chain", "block"])
+    moved = (F.col("until").isNull() | (F.col("at") > F.col("until"))) & (F.col("next") > F.col("block"))
     # the certain row before a moved row is its own block's last one, if it has one
     return e.withColumn("piece", F.when(moved, F.col("next")).otherwise(F.col("block"))).withColumn("entry", F.when(moved & F.col("until").isNotNull(), F.col("left")).otherwise(F.col("entry")))
 
 
 def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by piece and position with their emissions (one list for each row) -> the decoded state's index.
+    """Rows sorted by piece and position with their emissions (one list for each row) or certain state -> the decoded states of the others.
 
     All pieces of a batch advance together: the loop is over positions, not over rows.
     """
     import numpy as np
 
-    keep = ["row_id", "symbol", "stat", "printed", "written", "source"]
-
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         chain, piece = pdf["chain"].to_numpy(), pdf["piece"].to_numpy()
         start = np.flatnonzero(np.r_[True, (chain[1:] != chain[:-1]) | (piece[1:] != piece[:-1])])
         length = np.diff(np.r_[start, len(pdf)])
-        k = max(map(len, pdf["emission"]))
+        known = pdf["known"].to_numpy(dtype=float)
+        k = int(pdf["units"].max())
         emission = np.full((len(pdf), k), -np.inf)
         for i, e in enumerate(pdf["emission"]):
-            emission[i, : len(e)] = e
+            if np.isnan(known[i]):
+                emission[i, : len(e)] = e
+            else:
+                emission[i, int(known[i])] = 0.0
         entry = pdf["entry"].to_numpy(dtype=float)[start]
         come = np.where(np.isnan(entry)[:, None] | (np.arange(k) == entry[:, None]), 0.0, SWITCH)
         score, back = emission.copy(), np.zeros((len(pdf), k), dtype=np.int8)
@@ -210,9 +225,9 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in range(length.max(initial=0) - 2, -1, -1):
             at = start[length > t + 1] + t
             state[at] = back[at + 1, state[at + 1]]
-        out = pdf[keep].copy()
+        out = pdf[KEPT].copy()
         out["state"] = state
-        return out
+        return out[np.isnan(known)]
 
     rest: pd.DataFrame | None = None
     for pdf in batches:
@@ -238,19 +253,25 @@ def to_common_units(extracted_rows: DataFrame, text_rows: DataFrame, symbol_unit
     """
     dim = _dimension(symbol_units)
     unit = F.struct(((F.col("factor") != 1) | (F.col("shift") != 0)).alias("odd"), "factor", "shift")
+    # the common unit itself sorts first; a few hundred rows for each symbol list
     states = dim.groupBy("symbol").agg(F.first("common_unit").alias("common_unit"), F.array_sort(F.collect_set(unit)).alias("units"))
-    read = dim.select("symbol", F.col("spelling").alias("written"), unit.alias("is"))
-    e = _evidence(extracted_rows, text_rows, symbol_units).join(F.broadcast(read), ["symbol", "written"], "left").join(F.broadcast(states.select("symbol")), "symbol", "left_semi")
-    sure = F.when(F.col("is").isNotNull(), F.col("printed") * F.col("is.factor") + F.col("is.shift")).when(F.col("source") == "none", F.col("printed"))
-    e = materialize(e.withColumn("sure", sure), "unit-evidence")
-    chains, symbols = _levels(e)
-    # a row per symbol of the reference list
-    e = _with_level(e, chains).join(F.broadcast(symbols), "symbol").join(F.broadcast(states), "symbol").withColumn("chain", F.xxhash64(*CHAIN))
-    e = _pieces(_emissions(e).drop("units", "uses", "mu", "between", "within", "level", "variance"))
-    pieces = e.select("chain", "piece", "entry", "row_id", "symbol", "stat", "printed", "written", "source", "emission", "text_row_id").repartition("chain", "piece").sortWithinPartitions("chain", "piece", "text_row_id", "row_id", "stat")
-    decoded = pieces.drop("text_row_id").mapInPandas(_viterbi, "row_id long, symbol string, stat string, printed double, written string, source string, state long").join(F.broadcast(states), "symbol")
-    u = F.col("units")[F.col("state").cast("int")]
+    read = dim.join(states.select("symbol", "units"), "symbol").select("symbol", F.col("spelling").alias("written"), (F.array_position("units", unit) - 1).cast("int").alias("read"), "factor", "shift")
+    read, states = materialize(read, "unit-spellings"), materialize(states, "unit-states")
+    e = _evidence(extracted_rows, text_rows, symbol_units).withColumn("chain", F.xxhash64(*CHAIN)).drop("mfr", "mpn")
+    e = e.join(F.broadcast(read), ["symbol", "written"], "left").join(F.broadcast(states.select("symbol")), "symbol", "left_semi")
+    sure = F.when(F.col("read").isNotNull(), F.col("printed") * F.col("factor") + F.col("shift")).when(F.col("source") == "none", F.col("printed"))
+    e = materialize(e.withColumn("sure", sure).drop("factor", "shift"), "unit-evidence")
+    chains, symbols, total = _levels(e)
+    weighed = _weighed(_with_level(e, chains, total).join(F.broadcast(symbols), "symbol").join(F.broadcast(states), "symbol"))
+    weighed = materialize(weighed.select("chain", "text_row_id", *KEPT, "state", F.when(F.col("state").isNull(), F.col("emission")).alias("emission"), F.size("units").alias("units")), "unit-weights")
+    # the path runs through the certain rows; it is decoded where there are others
+    open_chains = weighed.filter("state is null").select("chain").distinct()
+    pieces = _pieces(weighed.join(open_chains, "chain", "left_semi")).withColumnRenamed("state", "known")
+    pieces = pieces.repartition("chain", "piece").sortWithinPartitions("chain", "piece", "text_row_id", "row_id", "stat").select("chain", "piece", "entry", *KEPT, "known", "emission", "units")
+    decoded = pieces.mapInPandas(_viterbi, "row_id long, symbol string, stat string, printed double, written string, source string, state int")
+    both = weighed.filter("state is not null").select(*KEPT, "state").unionByName(decoded).join(F.broadcast(states), "symbol")
+    u = F.get("units", F.col("state"))
     value = F.col("printed") * u["factor"] + u["shift"]
-    return decoded.select(
+    return both.select(
         "row_id", "stat", "printed", "written", "source", F.struct(u["factor"].alias("factor"), u["shift"].alias("shift")).alias("unit"), "common_unit", value.alias("value"), F.round(value * 1000).cast("long").alias("milli"), u["odd"].alias("converted")
     )

@@ -84,11 +84,11 @@ def d14_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d15_tick_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "text_rows").select("mpn", "page_num", F.col("bbox.y1").alias("y"))
-    return curves.tick_runs(t, ["mpn", "page_num"], "y")
+    return curves.tick_runs(t, ["mpn", "page_num"], "y").select("mpn", "page_num", "first", "last", "n", F.round("spacing", 6).alias("spacing"))
 
 
 def d16_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.plateaus(_curve(spark, sf_dir), ["user_id"], "v", "c", 15.0)
+    return curves.plateaus(_curve(spark, sf_dir), ["user_id"], "v", "c", 15.0).select("user_id", "x_from", "x_to", F.round("level", 6).alias("level"))
 
 
 def d1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +152,12 @@ def h27_coil_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h28_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """High-side loss and efficiency of the parts with a plateau voltage over a sweep of input power, CCM points only."""
+    """High-side loss and efficiency of all parts over a sweep of input power, CCM points only."""
     from ampmill.operators import specs
 
     s = loss.scenario(spark).drop("pin").crossJoin(magnetics.power_sweep(spark)).withColumn("l", F.lit(50e-6))
     point = loss.operating_point(s).filter("ccm")
-    parts = specs.with_foms(specs.complete_gate_charge(dparts(spark, sf_dir))).filter("vpl is not null and vds between 80 and 150")
+    parts = specs.with_foms(specs.complete_gate_charge(dparts(spark, sf_dir)))
     hs = loss.high_side(parts.crossJoin(F.broadcast(point))).withColumn("p", loss.hs_total())
     return hs.groupBy("pin").agg(F.count("p").alias("n"), F.round(F.avg("p"), 5).alias("mean_loss"), F.round(F.max(1 - F.col("p") / F.col("pin")), 6).alias("best_efficiency")).select(F.round("pin", 4).alias("pin"), "n", "mean_loss", "best_efficiency")
 
@@ -192,8 +192,23 @@ _FIT = f"""{_TS}, f1 AS (SELECT *, ln(10::DOUBLE) AS l, qrr > 0 AND trr > 0 AND
   f8 AS (SELECT *, list_reduce(list_transform(range(101), lambda k: {{'lo': td * (1 + 1e-9), 'hi': hi}}), lambda s, x: {{
      'lo': CASE WHEN a * ((s.lo + s.hi) / 2 - td) * (1 - exp(-t0 / ((s.lo + s.hi) / 2))) - irrm < 0 THEN (s.lo + s.hi) / 2 ELSE s.lo END,
      'hi': CASE WHEN a * ((s.lo + s.hi) / 2 - td) * (1 - exp(-t0 / ((s.lo + s.hi) / 2))) - irrm < 0 THEN s.hi ELSE (s.lo + s.hi) / 2 END}}) AS r FROM f7 WHERE td IS NOT NULL)"""
+PREDICTED_SQL = """q1 AS (SELECT *, life * td / (life - td) AS tm FROM q0), q2 AS (SELECT *, life * tm / (life + tm) AS d FROM q1),
+  q3 AS (SELECT *, list_reduce(list_transform(range(101), lambda k: {'lo': 0::DOUBLE, 'hi': greatest(1::DOUBLE, 10 * oa * life)}), lambda s, x: {
+     'lo': CASE WHEN oa * (life - d) * (1 - exp(-(oi + (s.lo + s.hi) / 2) / (oa * life))) - (s.lo + s.hi) / 2 > 0 THEN (s.lo + s.hi) / 2 ELSE s.lo END,
+     'hi': CASE WHEN oa * (life - d) * (1 - exp(-(oi + (s.lo + s.hi) / 2) / (oa * life))) - (s.lo + s.hi) / 2 > 0 THEN s.hi ELSE (s.lo + s.hi) / 2 END}) AS o FROM q2),
+  q4 AS (SELECT *, CASE WHEN life > 0 AND tm > 0 THEN (o.lo + o.hi) / 2 END AS x FROM q3)"""
+FIT_SQL = _FIT
+_L, _K = "list_aggregate(s.ys, 'median')", "CASE WHEN p.g / s.mean BETWEEN 0.75 AND 1.25 THEN 1 WHEN p.g / s.mean BETWEEN 1.5 AND 2.5 THEN 2 END"
+_STAYS, _CLOSES = f"abs(p.y - {_L}) <= 15", f"len(s.ys) > 1 AND (s.prev IS NULL OR s.prev < {_L}) AND {{up}} AND (s.bx0 IS NULL OR s.xl - s.x0 > s.bx1 - s.bx0)"
+_BETTER = "s.n + 1 > s.bn"
 
 SQL = {
+    "h15_predict": f"""WITH {DPARTS_SQL}, {_FIT}, q0 AS (SELECT pk, (r.lo + r.hi) / 2 AS life, td, {_C.format('30 + pk % 20')} AS oi, {_C.format('200 + (pk % 7) * 100')} * 1e6 AS oa FROM f8), {PREDICTED_SQL}
+        SELECT pk, round((x * x / (2 * oa) + x * d) * 1e9, 5) AS qrr_nc, round((x / oa + d * ln(10::DOUBLE)) * 1e9, 5) AS trr_ns, round(x, 5) AS irrm FROM q4""",
+    "h23_integral": f"""WITH {_CURVE}, e AS (SELECT user_id, min(v) AS lo, max(v) AS hi, arg_max(c, v) AS c_hi FROM cu GROUP BY user_id), g AS (SELECT e.*, i, CASE WHEN lo + (hi - lo) / 399 * i < hi THEN lo + (hi - lo) / 399 * i ELSE hi END AS x FROM e CROSS JOIN range(400) r(i)),
+        s AS (SELECT user_id, v, c, lead(v) OVER w AS v2, lead(c) OVER w AS c2 FROM cu WINDOW w AS (PARTITION BY user_id ORDER BY v)),
+        y AS (SELECT g.user_id, g.i, g.lo, g.hi, CASE WHEN g.x = g.hi THEN g.c_hi ELSE s.c + (s.c2 - s.c) * (g.x - s.v) / (s.v2 - s.v) END AS y FROM g LEFT JOIN s ON g.user_id = s.user_id AND g.x >= s.v AND g.x < s.v2)
+        SELECT user_id, round((sum(y) - (max(CASE WHEN i = 0 THEN y END) + max(CASE WHEN i = 399 THEN y END)) / 2) * (max(hi) - max(lo)) / 399, 5) AS area FROM y GROUP BY user_id""",
     "h14_fit": f"""WITH {DPARTS_SQL}, {_FIT} SELECT f7.pk, round(f7.irrm, 6) AS irrm, round(f7.td * 1e9, 5) AS td_ns, round((f8.r.lo + f8.r.hi) / 2 * 1e9, 5) AS tau_ns,
         CASE WHEN NOT coalesce(f7.good, false) THEN 'input' WHEN f7.td IS NULL THEN 'ramp' END AS fault FROM f7 LEFT JOIN f8 ON f7.pk = f8.pk""",
     "h16_tau_at": f"WITH {DPARTS_SQL} SELECT pk, round(trr * 4 * 1e9 * pow((25::DOUBLE + pk % 100 + 273.15) / (25 + 273.15), 1.2), 6) AS tau_ns FROM dparts",
@@ -203,6 +218,16 @@ SQL = {
     "h22_interpolate": f"WITH {_CURVE} SELECT user_id, " + ", ".join(f"round({_AT.format(x=x)}, 6) AS at_{x}" for x in (0, 17, 30, 59)) + " FROM (SELECT DISTINCT user_id FROM cu) u",
     "a26_collapse": f"WITH {_CURVE} SELECT user_id, v, round(c, 6) AS c FROM cu",
     "d14_calibrate": "SELECT text_row_id, round((bbox.x2 - bbox.x1) / (600 - bbox.x1) * 100, 6) AS lin, round(exp((bbox.x2 - bbox.x1) / (600 - bbox.x1) * ln(1000::DOUBLE)), 6) AS log FROM text_rows",
+    "d15_tick_runs": f"""WITH u AS (SELECT DISTINCT mpn, page_num, bbox.y1 AS y FROM text_rows), g AS (SELECT *, lead(y) OVER (PARTITION BY mpn, page_num ORDER BY y) AS y2 FROM u WHERE y IS NOT NULL),
+        l AS (SELECT mpn, page_num, list({{'a': y, 'b': y2, 'g': y2 - y, 'start': y, 'mean': y2 - y, 'n': 1, 'bf': NULL::DOUBLE, 'bl': NULL::DOUBLE, 'bn': 0, 'bs': NULL::DOUBLE}} ORDER BY y) AS gaps FROM g WHERE y2 IS NOT NULL GROUP BY mpn, page_num),
+        r AS (SELECT mpn, page_num, list_reduce(gaps, lambda s, p: {{'a': p.a, 'b': p.b, 'g': p.g, 'start': CASE WHEN {_K} IS NULL THEN p.a ELSE s.start END, 'mean': CASE WHEN {_K} IS NULL THEN p.g ELSE (s.mean * s.n + p.g / {_K}) / (s.n + 1) END, 'n': CASE WHEN {_K} IS NULL THEN 1 ELSE s.n + 1 END,
+          'bf': CASE WHEN {_K} IS NULL AND {_BETTER} THEN s.start ELSE s.bf END, 'bl': CASE WHEN {_K} IS NULL AND {_BETTER} THEN s.b ELSE s.bl END, 'bn': CASE WHEN {_K} IS NULL AND {_BETTER} THEN s.n + 1 ELSE s.bn END, 'bs': CASE WHEN {_K} IS NULL AND {_BETTER} THEN s.mean ELSE s.bs END}}) AS s FROM l)
+        SELECT k.mpn, k.page_num, CASE WHEN {_BETTER} THEN s.start ELSE s.bf END AS first, CASE WHEN {_BETTER} THEN s.b ELSE s.bl END AS last, CAST(coalesce(CASE WHEN {_BETTER} THEN s.n + 1 ELSE s.bn END, 0) AS BIGINT) AS n, round(CASE WHEN {_BETTER} THEN s.mean ELSE s.bs END, 6) AS spacing
+        FROM (SELECT DISTINCT mpn, page_num FROM text_rows) k LEFT JOIN r ON k.mpn IS NOT DISTINCT FROM r.mpn AND k.page_num IS NOT DISTINCT FROM r.page_num""",
+    "d16_plateaus": f"""WITH {_CURVE}, l AS (SELECT user_id, list({{'x': v, 'y': c, 'ys': [c], 'x0': v, 'xl': v, 'prev': NULL::DOUBLE, 'bx0': NULL::DOUBLE, 'bx1': NULL::DOUBLE, 'bl': NULL::DOUBLE}} ORDER BY v, c) AS pts FROM cu GROUP BY user_id),
+        r AS (SELECT user_id, list_reduce(pts, lambda s, p: {{'x': p.x, 'y': p.y, 'ys': CASE WHEN {_STAYS} THEN list_append(s.ys, p.y) ELSE [p.y] END, 'x0': CASE WHEN {_STAYS} THEN s.x0 ELSE p.x END, 'xl': p.x, 'prev': CASE WHEN {_STAYS} THEN s.prev ELSE s.y END,
+          'bx0': CASE WHEN NOT ({_STAYS}) AND {_CLOSES.format(up=f'p.y > {_L}')} THEN s.x0 ELSE s.bx0 END, 'bx1': CASE WHEN NOT ({_STAYS}) AND {_CLOSES.format(up=f'p.y > {_L}')} THEN s.xl ELSE s.bx1 END, 'bl': CASE WHEN NOT ({_STAYS}) AND {_CLOSES.format(up=f'p.y > {_L}')} THEN {_L} ELSE s.bl END}}) AS s FROM l)
+        SELECT user_id, CASE WHEN {_CLOSES.format(up='true')} THEN s.x0 ELSE s.bx0 END AS x_from, CASE WHEN {_CLOSES.format(up='true')} THEN s.xl ELSE s.bx1 END AS x_to, round(CASE WHEN {_CLOSES.format(up='true')} THEN {_L} ELSE s.bl END, 6) AS level FROM r""",
     "d1_overlap": """WITH t AS (SELECT text_row_id, bbox AS a, lead(bbox) OVER (PARTITION BY mpn, page_num ORDER BY text_row_id) AS b FROM text_rows) SELECT text_row_id,
         round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / least(a.x2 - a.x1, b.x2 - b.x1), 6) AS x_share, round(greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)), 6) AS y_common, round(greatest(a.y2, b.y2), 6) AS y2 FROM t WHERE b IS NOT NULL""",
     "d8_tables": """WITH s AS (SELECT mpn, page_num, lag(bbox.y1) OVER (PARTITION BY mpn, page_num ORDER BY bbox.y1 DESC, text_row_id) - bbox.y2 AS st, n_words <= 3 AS h FROM text_rows)

@@ -39,7 +39,46 @@ def f15_foms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f16_gate_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("pk", *[F.round(F.col(c) * 1e9, 6).alias(f"{c}_nc") for c in ("qgs2", "qg_th", "qsw")], "qg_th_estimated")
+    """Completion where some parts come with a switching charge and some with a threshold charge of their own."""
+    pk = F.col("pk")
+    parts = dparts(spark, sf_dir).withColumn("qsw_raw", F.when(pk % 5 == 0, F.col("qgd") * 1.3)).withColumn("qg_th", F.when(pk % 7 == 0, F.col("qgs") * 0.5))
+    return specs.complete_gate_charge(parts).select("pk", *[F.round(F.col(c) * 1e9, 6).alias(f"{c}_nc") for c in ("qgs2", "qg_th", "qsw")], "qg_th_estimated")
+
+
+def h5_gan_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The high-side losses with every part taken as GaN: lower drive voltage and plateau."""
+    gan = _records(spark, sf_dir).withColumn("substrate", F.lit("GaN"))
+    hs = loss.high_side(gan.crossJoin(F.broadcast(_point(spark))))
+    return hs.select("pk", F.round(F.col("tr") * 1e9, 6).alias("tr_ns"), F.round(F.col("tf") * 1e9, 6).alias("tf_ns"), *_w("p_sw", "p_gd"), F.round(loss.hs_total(), 6).alias("p_total"))
+
+
+def h3_hot_resistance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resistance at junction temperatures: unknown, 25 °C, and one that the model doesn't support."""
+    tj = F.when(F.col("pk") % 3 == 1, 25.0).when(F.col("pk") % 3 == 2, 100.0)
+    return dparts(spark, sf_dir).select("pk", F.round(loss.resistance_at(F.col("rds_on"), tj) * 1e3, 6).alias("rds_mohm"))
+
+
+def b2_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three report layouts over one evaluation of the losses: per part, high side, low side (long form: layout, pk, column, value)."""
+    base = _records(spark, sf_dir).crossJoin(F.broadcast(_point(spark)))
+    hs = loss.high_side(base)
+    both = _low_side_of(hs)
+    of = lambda layout, **cols: [F.struct(F.lit(layout).alias("layout"), F.lit(name).alias("name"), F.round(c, 6).alias("value")) for name, c in cols.items()]
+    cells = [
+        *of("part", vds=F.col("vds"), rds_mohm=F.col("rds_on") * 1e3, fom=F.col("fom"), p_hs=loss.hs_total(), p_ls=F.col("ls.p_total")),
+        *of("hs", p_cl=F.col("p_cl"), p_sw=F.col("p_sw"), p_coss=F.col("p_coss"), p_gd=F.col("p_gd"), p_total=loss.hs_total()),
+        *of("ls", p_cl=F.col("ls.p_cl"), p_rr=F.col("ls.p_rr"), p_coss=F.col("ls.p_coss"), p_gd=F.col("ls.p_gd"), p_dt=F.col("ls.p_dt"), p_total=F.col("ls.p_total")),
+    ]
+    return both.select("pk", F.inline(F.array(*cells))).filter("value is not null")
+
+
+def _low_side_of(hs: DataFrame) -> DataFrame:
+    """hs with the same part's losses as low side in a struct ls."""
+    kept = [c for c in hs.columns if c not in ("p_cl", "p_sw", "p_coss", "p_rr", "p_gd", "p_dt", "q_oss")]
+    named = hs.select(*kept, F.struct(*[F.col(c) for c in ("p_cl", "p_sw", "p_coss", "p_rr", "p_gd", "p_dt")]).alias("hs"))
+    low = loss.low_side(named)
+    low = low.withColumn("ls", F.struct("p_cl", "p_coss", "p_rr", "p_gd", "p_dt", loss.ls_total().alias("p_total")))
+    return low.select(*kept, "ls", *[F.col("hs")[c].alias(c) for c in ("p_cl", "p_sw", "p_coss", "p_rr", "p_gd", "p_dt")])
 
 
 def f17_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +132,12 @@ def h12_ls_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h13_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per part: both switch positions, alone and as two in parallel."""
-    base = _records(spark, sf_dir).crossJoin(F.broadcast(_point(spark))).select("*")
-    hs, ls = loss.high_side(base), loss.low_side(base)
-    out = hs.select("pk", F.round(loss.hs_total(), 6).alias("p_hs"))
-    two = loss.in_parallel(hs, F.lit(2)).select("pk", F.round(loss.hs_total(), 6).alias("p_hs_2"))
-    out_ls = ls.select("pk", F.round(loss.ls_total(), 6).alias("p_ls"))
-    two_ls = loss.in_parallel(ls, F.lit(2)).select("pk", F.round(loss.ls_total(), 6).alias("p_ls_2"))
-    return out.join(two, "pk").join(out_ls, "pk").join(two_ls, "pk")
+    """One wide row per part: both switch positions, alone and as two in parallel, in one projection."""
+    both = _low_side_of(loss.high_side(_records(spark, sf_dir).crossJoin(F.broadcast(_point(spark)))))
+    hs = both.select("*", F.round(loss.hs_total(), 6).alias("p_hs"))
+    hs2 = loss.in_parallel(hs, F.lit(2)).select("pk", "p_hs", F.round(loss.hs_total(), 6).alias("p_hs_2"), "ls")
+    ls = hs2.select("pk", "p_hs", "p_hs_2", F.round("ls.p_total", 6).alias("p_ls"), F.lit(0.0).alias("p_sw"), F.lit(0.0).alias("q_oss"), *[F.col("ls")[c].alias(c) for c in ("p_cl", "p_coss", "p_rr", "p_gd", "p_dt")])
+    return loss.in_parallel(ls, F.lit(2)).select("pk", "p_hs", "p_hs_2", "p_ls", F.round(loss.ls_total(), 6).alias("p_ls_2"))
 
 
 def h11_staged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +149,7 @@ def w3_top_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.cheapest(r.filter("n = 1"), "p_total", 5000).select("pk", F.round("p_total", 6).alias("p_total"))
 
 
-QUERIES = {f.__name__: f for f in (f5_vds_window, f7_preselect, f13_self_turn_on, f15_foms, f16_gate_charge, f17_violations, f18_catalogue, h1_operating_point, h4_coss_loss, h5_hs_loss, h6_lcsi_times, h7_ls_loss, h10_hs_ranking, h12_ls_ranking, h13_report, h11_staged_pairs, w3_top_losses)}
+QUERIES = {f.__name__: f for f in (f5_vds_window, f7_preselect, f13_self_turn_on, f15_foms, f16_gate_charge, h5_gan_loss, h3_hot_resistance, b2_layouts, f17_violations, f18_catalogue, h1_operating_point, h4_coss_loss, h5_hs_loss, h6_lcsi_times, h7_ls_loss, h10_hs_ranking, h12_ls_ranking, h13_report, h11_staged_pairs, w3_top_losses)}
 
 # The same models in SQL, with the scenario's numbers as literals.
 _D = "CAST({} AS DOUBLE)"
@@ -154,7 +191,19 @@ SQL = {
     "f13_self_turn_on": f"WITH {DPARTS_SQL} SELECT pk, round(qgd / qgs, 6) AS ratio FROM dparts WHERE coalesce(NOT (qgd / qgs > 1), true)",
     "f15_foms": f"""WITH {DPARTS_SQL}, {_REC} SELECT pk, round(rds_on * 1e3 * qg * 1e9, 6) AS fom, round(rds_on * 1e3 * qrr * 1e9, 6) AS fom_qrr, round(rds_on * 1e3 * qsw * 1e9, 6) AS fom_qsw,
         round(rds_on * 1e3 * coss * 1e12, 6) AS fom_coss, round(qgd / qgs, 6) AS qgd_qgs_ratio, round(v0, 6) AS coss_v0, round((qg - qgd) * 1e9, 6) AS qg_sync_nc, round((qg - qgd - qgs) * 1e9, 6) AS qg_odr_nc FROM rec""",
-    "f16_gate_charge": f"WITH {DPARTS_SQL}, {_REC} SELECT pk, round(qgs2 * 1e9, 6) AS qgs2_nc, round(qg_th * 1e9, 6) AS qg_th_nc, round(qsw * 1e9, 6) AS qsw_nc, true AS qg_th_estimated FROM rec",
+    "f16_gate_charge": f"""WITH {DPARTS_SQL}, g0 AS (SELECT *, CASE WHEN pk % 5 = 0 THEN qgd * 1.3 END AS qsw0, CASE WHEN pk % 7 = 0 THEN qgs * 0.5 END AS qth0 FROM dparts), g1 AS (SELECT *, CASE WHEN qsw0 > qgd THEN qsw0 - qgd END AS q2 FROM g0),
+        g2 AS (SELECT *, coalesce(qth0, CASE WHEN qsw0 IS NOT NULL THEN qgs + qgd - qsw0 END, qgs - q2) AS known FROM g1), g3 AS (SELECT *, coalesce(known, qgs * (1 - {_D.format('0.55')})) AS qth FROM g2)
+        SELECT pk, round(coalesce(q2, qgs - qth) * 1e9, 6) AS qgs2_nc, round(qth * 1e9, 6) AS qg_th_nc, round(coalesce(qsw0, qgd + coalesce(q2, qgs - qth)) * 1e9, 6) AS qsw_nc, known IS NULL AND qgs IS NOT NULL AS qg_th_estimated FROM g3""",
+    "h5_gan_loss": (f"{_ALL}, {_TIMES.format(src='j')}, {_HS} SELECT pk, round(tr * 1e9, 6) AS tr_ns, round(tf * 1e9, 6) AS tf_ns, {_r('p_sw', 'p_gd')}, round(p_cl + p_coss + p_gd + p_sw, 6) AS p_total FROM hs").replace(f"{_D.format(10)} AS von", f"{_D.format(5)} AS von").replace(f"{_D.format('4.5')} AS vplf", f"{_D.format('2.25')} AS vplf"),
+    "h3_hot_resistance": f"WITH {DPARTS_SQL} SELECT pk, round(CASE pk % 3 WHEN 0 THEN rds_on * 1.22 WHEN 1 THEN rds_on END * 1e3, 6) AS rds_mohm FROM dparts",
+    "b2_layouts": f"""{_ALL}, {_TIMES.format(src='j')}, {_HS}, {_LS.format(src='j')}, b AS (SELECT hs.pk, hs.vds, hs.rds_on * 1e3 AS rds_mohm, hs.rds_on * 1e3 * hs.qg * 1e9 AS fom, hs.p_cl AS h_cl, hs.p_sw AS h_sw, hs.p_coss AS h_coss, hs.p_gd AS h_gd, hs.p_cl + hs.p_coss + hs.p_gd + hs.p_sw AS h_total,
+        ls.p_cl AS l_cl, ls.p_rr AS l_rr, ls.p_coss AS l_coss, ls.p_gd AS l_gd, ls.p_dt AS l_dt, ls.p_cl + ls.p_coss + ls.p_gd + ls.p_dt + ls.p_rr AS l_total FROM hs JOIN ls ON hs.pk = ls.pk),
+      u AS ({' UNION ALL '.join(f"SELECT pk, '{layout}' AS layout, '{name}' AS name, round({c}, 6) AS value FROM b" for layout, name, c in [('part', 'vds', 'vds'), ('part', 'rds_mohm', 'rds_mohm'), ('part', 'fom', 'fom'), ('part', 'p_hs', 'h_total'), ('part', 'p_ls', 'l_total'), ('hs', 'p_cl', 'h_cl'), ('hs', 'p_sw', 'h_sw'), ('hs', 'p_coss', 'h_coss'), ('hs', 'p_gd', 'h_gd'), ('hs', 'p_total', 'h_total'), ('ls', 'p_cl', 'l_cl'), ('ls', 'p_rr', 'l_rr'), ('ls', 'p_coss', 'l_coss'), ('ls', 'p_gd', 'l_gd'), ('ls', 'p_dt', 'l_dt'), ('ls', 'p_total', 'l_total')])})
+      SELECT * FROM u WHERE value IS NOT NULL""",
+    "h28_sweep": f"""WITH {DPARTS_SQL}, {_REC}, pw AS (SELECT 5 * pow({_D.format('1.1')}, i) AS pin FROM range(80) r(i)), {_SC.replace('sc AS (SELECT', 'sc AS (SELECT pin,').replace(f"800 / {_D.format(27)} AS io", f"pin / {_D.format(27)} AS io").replace(' AS maxp)', ' AS maxp FROM pw WHERE pin < 2000)').replace(f"io * {_D.format('0.3')} AS di, vo / vi AS duty", "vo / (f * 50e-6) * (1 - vo / vi) AS di, vo / vi AS duty")},
+      j AS (SELECT * FROM rec CROSS JOIN pt WHERE di < 2 * io), {_TIMES.format(src='j')}, {_HS}
+      SELECT round(pin, 4) AS pin, count(p_cl + p_coss + p_gd + p_sw) AS n, round(avg(p_cl + p_coss + p_gd + p_sw), 5) AS mean_loss, round(max(1 - (p_cl + p_coss + p_gd + p_sw) / pin), 6) AS best_efficiency FROM hs GROUP BY pin""",
+    "g8_reasons": f"WITH {DPARTS_SQL}, {_REC}, u AS (SELECT mfr, unnest([{_RULES}]) AS reason FROM rec) SELECT mfr, reason, count(*) AS n FROM u WHERE reason IS NOT NULL GROUP BY mfr, reason",
     "f17_violations": f"WITH {DPARTS_SQL}, {_REC} SELECT pk, concat_ws(',', {_RULES}) AS violations FROM rec",
     "f18_catalogue": f"""WITH {DPARTS_SQL} SELECT pk, concat_ws(',', CASE WHEN NOT (rds_on * 1000 / abs(vds) BETWEEN 0.002 AND 1000) THEN 'rds_vds' END,
         CASE WHEN NOT (abs(vds) * id * 1e-3 > 0.1 AND abs(vds) * id * 1e-3 < CASE WHEN vds < 0 THEN 60 ELSE 95 END) THEN 'power' END, CASE WHEN NOT (vpl * 4 <= 15) THEN 'vth' END) AS faults FROM dparts""",

@@ -137,5 +137,6 @@ SQL = {
     "j1_similarity": _SCORE,
     "j2_nearest": _SCORE + " ORDER BY score, pk LIMIT 10",
     "b4_export": f"WITH {DPARTS_SQL} SELECT pk, {', '.join(_SIG.format(x=f'({c} * 1e9)', n=5) + f' AS {c}_n' for c in ('qg', 'qgs', 'qrr'))} FROM dparts",
+    "c24_si_text": f"WITH {DPARTS_SQL} SELECT pk, " + ", ".join("CASE WHEN {c} = 0 THEN '0 {u}' ".format(c=c, u=u) + " ".join(f"WHEN abs({c}) >= {f} THEN concat(regexp_replace(CAST({_SIG.format(x=f'({c} / {f})', n=3)} AS VARCHAR), '\\.0$', ''), ' {p}{u}')" for p, f in (("M", 1e6), ("k", 1e3), ("", 1.0), ("m", 1e-3), ("µ", 1e-6), ("n", 1e-9), ("p", 1e-12))) + f" END AS {c}" for c, u in (("rds_on", "Ω"), ("id", "A"))) + " FROM dparts",
     "w2_sorted_first": f"WITH {DPARTS_SQL} SELECT pk, rg FROM dparts",
 }
