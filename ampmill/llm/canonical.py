@@ -24,8 +24,6 @@ from ampmill.session import materialize
 THRESHOLD = 0.25
 #: Most edits of a match, by letter of the entry's form, for values that aren't just shortened or extended.
 EDITS = 0.4
-#: Reference lists up to this many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 # Words that say nothing about the entry meant.
 LEGAL_FORMS = r"\b(gmbh|inc|incorporated|ltd|limited|llc|corp|corporation|co|company|ag|kg|bv|nv|sa|srl|spa|kk|plc|pte|intl|international|shenzhen|hk|group|holding)\b"
@@ -106,9 +104,7 @@ def match_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHO
     counts = queries.select(F.explode("tokens").alias("token")).unionByName(forms.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left = _prefixes(_by_rarity(queries, counts, ["field", "plain"]), threshold, "q_")
     right = _prefixes(_by_rarity(forms, counts, ["field", "canon_id", "name", "form"]), threshold, "f_")
-    # the reference list has a checked size; beyond it the join shuffles by token
-    if canon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
+    # the planner broadcasts the list's prefixes by their measured bytes; beyond its bound the join shuffles by token
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("q_size") + F.col("f_size")))
     pairs = left.join(right, (left.token == right.token) & (left.q_field == right.f_field)).filter(
         (F.col("f_size") >= F.col("q_size") * threshold)

@@ -10,9 +10,12 @@ messages through joins until they converge, and the marginal match probabilities
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ampmill.functions.bind import let
 from ampmill.functions.mpn import PACKING
 from ampmill.llm.canonical import match_values, plain_form
 from ampmill.session import materialize
@@ -28,8 +31,8 @@ RESISTANCE, CURRENT, CHARGE = (2.5, 0.5, -3.5), (1.5, 0.3, -2.5), (1.5, 0.3, -1.
 PACKAGE = (1.5, -1.5)
 #: Log cost of a part's further offer.
 FURTHER_OFFER = 1.0
-#: Messages keep this share of their former value; iteration ends when none moves further than the tolerance, or after the last round.
-DAMPING, TOLERANCE, ROUNDS = 0.3, 0.01, 12
+#: Messages keep this share of their former value; iteration ends when none moves further than the tolerance. If that isn't reached in the last round, a warning says so.
+DAMPING, TOLERANCE, ROUNDS = 0.3, 0.02, 60
 #: Least probability of a match.
 LEAST = 0.5
 
@@ -50,14 +53,16 @@ def printed_number(col: Column) -> Column:
 
 
 def _amount(col: Column, scales: dict[str, float]) -> Column:
-    """The number at the end of the first part of a printed value, in the base unit of the scales; null where unreadable."""
+    """The number at the end of the first part of a printed value, in the base unit of the scales; null where unreadable. Each pattern is matched once a row."""
     head = F.regexp_replace(F.regexp_extract(col, r"^([^@]*)", 1), ",(?=\\d{1,2}\\D)", ".")
-    value = F.regexp_extract(head, r"([\d.]+)\s*[a-zA-ZμµΩΩ]+[^\d]*$", 1).try_cast("double")
-    unit = F.translate(F.regexp_extract(head, r"[\d.]+\s*([a-zA-ZμµΩΩ]+)[^\d]*$", 1), "µΩ", "μΩ")
-    factor = F.lit(None).cast("double")
-    for name, f in scales.items():
-        factor = F.when(F.lower(unit) == name, f).otherwise(factor)
-    return value * factor
+    factors = F.create_map(*[F.lit(x) for kv in scales.items() for x in kv])
+
+    def read(s: Column) -> Column:
+        value = F.regexp_extract(s["head"], r"([\d.]+)\s*[a-zA-ZμµΩΩ]+[^\d]*$", 1)
+        unit = F.regexp_extract(s["head"], r"[\d.]+\s*([a-zA-ZμµΩΩ]+)[^\d]*$", 1)
+        return value.try_cast("double") * F.try_element_at(factors, F.lower(F.translate(unit, "µΩ", "μΩ")))
+
+    return let(read, head=head)
 
 
 def _makers(parts: DataFrame, listings: DataFrame, canon: DataFrame) -> DataFrame:
@@ -128,13 +133,11 @@ def candidate_pairs(parts: DataFrame, listings: DataFrame, canon: DataFrame) ->
 def match_probabilities(pairs: DataFrame) -> DataFrame:
     """(l, p, probability) from pairs (l, p, prior) by loopy belief propagation.
 
-    Pairs without a rival need no messages. A factor's message to a pair depends on the other pairs only
+    Pairs without a rival need no messages; all others take part, however small their odds. A factor's message to a pair depends on the other pairs only
     through the sum of their odds, so one round is two aggregations and two joins over the contested pairs.
     """
     pairs = materialize(pairs, "pairs")
-    # a rival below these odds moves a probability by less than the tolerance
-    alive = pairs.filter("prior > -6")
-    rivals = alive.join(alive.groupBy("l").agg(F.count(F.lit(1)).alias("nl")), "l").join(alive.groupBy("p").agg(F.count(F.lit(1)).alias("np")), "p")
+    rivals = pairs.join(pairs.groupBy("l").agg(F.count(F.lit(1)).alias("nl")), "l").join(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("np")), "p")
     settled = rivals.filter("nl = 1 and np = 1").select("l", "p", F.col("prior").alias("belief"))
     # to_l, to_p: messages of the offer's and of the part's factor to the pair
     state = materialize(rivals.filter("nl > 1 or np > 1").select("l", "p", "prior", F.lit(0.0).alias("to_l"), F.lit(0.0).alias("to_p")), "messages-0")
@@ -148,11 +151,13 @@ def match_probabilities(pairs: DataFrame) -> DataFrame:
         mix = lambda old, new: DAMPING * F.col(old) + (1 - DAMPING) * new
         nxt = s.select("l", "p", "prior", mix("to_l", new_l).alias("to_l"), mix("to_p", new_p).alias("to_p"), F.greatest(F.abs(new_l - F.col("to_l")), F.abs(new_p - F.col("to_p"))).alias("moved"))
         state = materialize(nxt, f"messages-{i}")
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
+        moved = state.agg(F.max("moved")).first()[0] or 0.0
+        if moved < TOLERANCE:
             break
+    else:
+        warnings.warn(f"messages still move by {moved:.3g} after {ROUNDS} rounds", stacklevel=2)
     contested = state.select("l", "p", (F.col("prior") + F.col("to_l") + F.col("to_p")).alias("belief"))
-    low = pairs.filter("prior <= -6").select("l", "p", F.col("prior").alias("belief"))
-    return settled.unionByName(contested).unionByName(low).select("l", "p", (1 / (1 + F.exp(-F.col("belief")))).alias("probability"))
+    return settled.unionByName(contested).select("l", "p", (1 / (1 + F.exp(-F.col("belief")))).alias("probability"))
 
 
 def match_listings(parts: DataFrame, listings: DataFrame, canon: DataFrame) -> DataFrame:
