@@ -19,15 +19,16 @@ REQUIRED = ("vds", "rds_on")
 
 
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(facet, value, n) of all columns at once by grouping sets; null values are a bucket of their own."""
+    """(facet, value, n) of all columns at once by grouping sets, the most frequent values first, then by value; nulls count as ''."""
+    df = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
     sets = df.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
     # the bit that is off tells the column
     name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     full = (1 << len(columns)) - 1
     for i, c in enumerate(columns):
         on = F.col("g") == (full ^ (1 << (len(columns) - 1 - i)))
-        name, value = F.when(on, c).otherwise(name), F.when(on, F.col(c).cast("string")).otherwise(value)
-    return sets.select(name.alias("facet"), value.alias("value"), "n")
+        name, value = F.when(on, c).otherwise(name), F.when(on, F.col(c)).otherwise(value)
+    return sets.select(name.alias("facet"), value.alias("value"), "n").orderBy("facet", F.desc("n"), "value")
 
 
 def nearest_rank(df: DataFrame, columns: list[str], share: float) -> DataFrame:
@@ -150,6 +151,29 @@ def significant(c: Column, n: int = 5) -> Column:
     return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * scale) / scale)
 
 
+def csv_line(*cells: Column) -> Column:
+    """A line of the export (B4): numbers to five significant digits, null as nothing, quotes where a cell needs them (RFC 4180)."""
+
+    def shown(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.concat_ws(",", *[shown(c) for c in cells])
+
+
+def write_export(df: DataFrame, path: str, columns: list[str], score: str | None = None) -> None:
+    """The visible columns (and a score, where asked for) as CSV with byte order mark and CRLF (B4), in parts beside each other, the header in a part of its own.
+
+    Doubles come out with five significant digits. Nothing is collected: each partition writes its part.
+    """
+    names = [*columns, *([score] if score else [])]
+    doubles = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    lines = df.select(csv_line(*[F.regexp_replace(significant(F.col(c)).cast("string"), r"\.0$", "") if c in doubles else F.col(c) for c in names]).alias("value"))
+    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(names),)], "value string").coalesce(1)
+    head.write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
+
+
 def si_text(c: Column, unit: str) -> Column:
     """A value with SI prefix and three significant digits, such as 4.7 mΩ."""
     out = F.lit(None).cast("string")

@@ -167,17 +167,28 @@ def overlap(a: str, b: str, axis: str, relative: bool = True) -> Column:
     return F.try_divide(common, F.least(F.col(f"{a}.{hi}") - F.col(f"{a}.{lo}"), F.col(f"{b}.{hi}") - F.col(f"{b}.{lo}"))) if relative else common
 
 
-def nearest_in_direction(boxes: DataFrame, page: list[str], limit: int = 1, least: float = 0.4) -> DataFrame:
-    """(page, id, other, gap): the limit nearest boxes to the right with enough common height.
+def _turned(b: Column, direction: str) -> Column:
+    """A box turned so that what lies in the direction lies to its right."""
+    flip = lambda a, c: (-F.col(c), -F.col(a))
+    x, y = (f"{b}.x1", f"{b}.x2"), (f"{b}.y1", f"{b}.y2")
+    along, across = (x, y) if direction in ("right", "left") else (y, x)
+    lo, hi = tuple(map(F.col, along)) if direction in ("right", "above") else flip(*along)
+    return F.struct(lo.alias("x1"), F.col(across[0]).alias("y1"), hi.alias("x2"), F.col(across[1]).alias("y2"))
 
-    A join within the page and, against crowded pages, within bands of its height.
+
+def nearest_in_direction(boxes: DataFrame, page: list[str], limit: int = 1, least: float = 0.4, direction: str = "right") -> DataFrame:
+    """(page, id, other, gap): the limit nearest boxes to the right, left, above or below with enough common extent across (D6); y grows upwards.
+
+    A join within the page and, against crowded pages, within bands of the extent across. Ties go to the smaller id.
     """
     band = 50.0
-    b = boxes.withColumn("band", F.explode(F.sequence(F.floor(F.col("bbox.y1") / band), F.floor(F.col("bbox.y2") / band))))
+    t = boxes.select(*page, "id", _turned("bbox", direction).alias("bbox"))
+    b = t.withColumn("band", F.explode(F.sequence(F.floor(F.col("bbox.y1") / band), F.floor(F.col("bbox.y2") / band))))
     a = b.select(*page, "band", F.col("id"), F.col("bbox").alias("a"))
     o = b.select(*page, "band", F.col("id").alias("other"), F.col("bbox").alias("b"))
     j = a.join(o, [*page, "band"]).filter((F.col("id") != F.col("other")) & (F.col("b.x1") >= F.col("a.x2")) & (overlap("a", "b", "y") >= least))
-    pairs = j.select(*page, "id", "other", (F.col("b.x1") - F.col("a.x2")).alias("gap")).distinct()
+    # a pair meets once in each common band: it is the pair's distance that counts
+    pairs = j.groupBy(*page, "id", "other").agg(F.min(F.col("b.x1") - F.col("a.x2")).alias("gap"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*page, "id").orderBy("gap", "other"))).filter(F.col("rank") <= limit).drop("rank")
 
 

@@ -111,6 +111,12 @@ def condition_map(text: Column) -> Column:
     return F.coalesce(F.map_from_entries(seen), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
 
 
+def condition_text(cells: Column) -> Column:
+    """Structured conditions (a map of name to value, or of position to text) as one text for condition_map (C9): numbered cells hold whole assignments."""
+    named = lambda k, v: F.when(k.rlike(r"^\d+$"), v).otherwise(F.concat(k, F.lit("="), v))
+    return F.array_join(F.transform(F.map_entries(cells), lambda e: named(e["key"], e["value"])), ", ")
+
+
 def scaled_assignment(text: Column, name: str) -> Column:
     """The value assigned to a name, with SI prefix, as in ID = 250 mA -> 0.25."""
     pattern = rf"(?i)\b{name}\s*=\s*([-+]?[0-9.]+)\s*([mµμunkM]?)(?-i:[VAWΩFHsC]|Hz|Ohm)?"

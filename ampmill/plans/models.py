@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,6 +99,13 @@ def d1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("text_row_id", F.round(curves.overlap("a", "b", "x"), 6).alias("x_share"), F.round(curves.overlap("a", "b", "y", False), 6).alias("y_common"), F.round(curves.box_union("a", "b")["y2"], 6).alias("y2"))
 
 
+def d6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line of a page the nearest one in each direction."""
+    t = table(spark, sf_dir, "text_rows").filter("mpn is not null").select("mpn", "page_num", F.col("text_row_id").alias("id"), "bbox")
+    ways = [curves.nearest_in_direction(t, ["mpn", "page_num"], 1, 0.4, d).select("id", F.lit(d).alias("direction"), F.round("gap", 4).alias("gap")) for d in ("right", "left", "above", "below")]
+    return reduce(lambda a, b: a.unionByName(b), ways)
+
+
 def d8_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "text_rows").select("mpn", "page_num", F.col("text_row_id").alias("id"), "bbox", (F.col("n_words") <= 3).alias("is_header"))
     return curves.table_groups(t, ["mpn", "page_num"]).groupBy("mpn", "page_num").agg(F.max("table_no").cast("long").alias("tables"), F.count(F.lit(1)).alias("rows"))
@@ -168,7 +176,7 @@ def h29_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return magnetics.turns_sweep(c).filter("l0 >= 40e-6").groupBy("pk").agg(F.min("turns").alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (h14_fit, h15_predict, h16_tau_at, h17_two_point, h20_diffusion, e17_pairs, h22_interpolate, h23_integral, a26_collapse, d14_calibrate, d15_tick_runs, d16_plateaus, d1_overlap, d8_tables, h24_verdicts, g7_tally, g10_errors, h25_core, h26_wire, h27_coil_loss, h28_sweep, h29_turns)}
+QUERIES = {f.__name__: f for f in (h14_fit, h15_predict, h16_tau_at, h17_two_point, h20_diffusion, e17_pairs, h22_interpolate, h23_integral, a26_collapse, d14_calibrate, d15_tick_runs, d16_plateaus, d1_overlap, d6_neighbours, d8_tables, h24_verdicts, g7_tally, g10_errors, h25_core, h26_wire, h27_coil_loss, h28_sweep, h29_turns)}
 
 _CURVE = "cu AS (SELECT user_id, CAST(minute(ts) AS DOUBLE) AS v, avg(value) AS c FROM events WHERE value IS NOT NULL GROUP BY user_id, minute(ts))"
 _AT = "(SELECT CASE WHEN b.v = a.v THEN a.c ELSE a.c + (b.c - a.c) * ({x} - a.v) / (b.v - a.v) END FROM (SELECT v, c FROM cu k WHERE k.user_id = u.user_id AND v <= {x} ORDER BY v DESC LIMIT 1) a CROSS JOIN (SELECT v, c FROM cu k WHERE k.user_id = u.user_id AND v >= {x} ORDER BY v LIMIT 1) b)"
@@ -230,6 +238,11 @@ SQL = {
         SELECT user_id, CASE WHEN {_CLOSES.format(up='true')} THEN s.x0 ELSE s.bx0 END AS x_from, CASE WHEN {_CLOSES.format(up='true')} THEN s.xl ELSE s.bx1 END AS x_to, round(CASE WHEN {_CLOSES.format(up='true')} THEN {_L} ELSE s.bl END, 6) AS level FROM r""",
     "d1_overlap": """WITH t AS (SELECT text_row_id, bbox AS a, lead(bbox) OVER (PARTITION BY mpn, page_num ORDER BY text_row_id) AS b FROM text_rows) SELECT text_row_id,
         round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / least(a.x2 - a.x1, b.x2 - b.x1), 6) AS x_share, round(greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)), 6) AS y_common, round(greatest(a.y2, b.y2), 6) AS y2 FROM t WHERE b IS NOT NULL""",
+    "d6_neighbours": """WITH t AS (SELECT mpn, page_num, text_row_id AS id, bbox AS b FROM text_rows WHERE mpn IS NOT NULL), p AS (SELECT a.id, o.b.x1 - a.b.x2 AS r, a.b.x1 - o.b.x2 AS l, o.b.y1 - a.b.y2 AS u, a.b.y1 - o.b.y2 AS d,
+          greatest(0, least(a.b.y2, o.b.y2) - greatest(a.b.y1, o.b.y1)) / nullif(least(a.b.y2 - a.b.y1, o.b.y2 - o.b.y1), 0) AS across, greatest(0, least(a.b.x2, o.b.x2) - greatest(a.b.x1, o.b.x1)) / nullif(least(a.b.x2 - a.b.x1, o.b.x2 - o.b.x1), 0) AS along
+          FROM t a JOIN t o ON a.mpn = o.mpn AND a.page_num = o.page_num AND a.id <> o.id)
+        SELECT id, 'right' AS direction, round(min(r), 4) AS gap FROM p WHERE r >= 0 AND across >= 0.4 GROUP BY id UNION ALL SELECT id, 'left', round(min(l), 4) FROM p WHERE l >= 0 AND across >= 0.4 GROUP BY id
+        UNION ALL SELECT id, 'above', round(min(u), 4) FROM p WHERE u >= 0 AND along >= 0.4 GROUP BY id UNION ALL SELECT id, 'below', round(min(d), 4) FROM p WHERE d >= 0 AND along >= 0.4 GROUP BY id""",
     "d8_tables": """WITH s AS (SELECT mpn, page_num, lag(bbox.y1) OVER (PARTITION BY mpn, page_num ORDER BY bbox.y1 DESC, text_row_id) - bbox.y2 AS st, n_words <= 3 AS h FROM text_rows)
         SELECT mpn, page_num, CAST(sum(CASE WHEN st IS NULL OR st >= 30 OR h THEN 1 ELSE 0 END) AS BIGINT) AS tables, count(*) AS rows FROM s GROUP BY mpn, page_num""",
     "h24_verdicts": f"WITH {DPARTS_SQL} SELECT pk, {_V.format(e='abs((qrr - qg) / qg) * 100', w=10, f=30)} AS qrr, {_CAP} AS cap FROM dparts",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ampmill.operators import observations as ob
 from ampmill.operators import registries
 from ampmill.session import table
+from ampmill.sources import partlists
 from ampmill.sources.derived import DOBS_SQL, DPARTS_SQL, dobs, dparts
 
 KEYS = ["part", "symbol"]
@@ -199,7 +200,10 @@ def e1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a16_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mpn").alias("numbers"))
+    """Sources in the order of their trust, each one's rows behind those of the one before."""
+    s = _sources(spark, sf_dir)
+    u = partlists.all_sources(*[s.filter(F.col("source") == name) for name in ("vendor", "brand", "distributor")])
+    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mpn").alias("numbers"), F.min(F.shiftright("ord", 55)).alias("place"), F.max(F.shiftright("ord", 55)).alias("last_place"))
 
 
 def a20_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +323,7 @@ SQL = {
         round(avg(qg_typ) * 1e9, 6) AS qg_typ_nc, round(max(qg_max) * 1e9, 6) AS qg_max_nc, arg_min(package, ord) FILTER (WHERE package IS NOT NULL) AS package, count(*) AS n_records,
         concat_ws(',', CASE WHEN stddev_pop(rds_on) / abs(avg(rds_on)) > 0.45 THEN 'rds_on' END, CASE WHEN stddev_pop(id) / abs(avg(id)) > 0.45 THEN 'id' END, CASE WHEN stddev_pop(vgs_th_max) / abs(avg(vgs_th_max)) > 0.3 THEN 'vgs_th_max' END,
           CASE WHEN stddev_pop(qg_typ) / abs(avg(qg_typ)) > 0.01 THEN 'qg_typ' END, CASE WHEN stddev_pop(qg_max) / abs(avg(qg_max)) > 0.2 THEN 'qg_max' END, CASE WHEN max(abs(vds)) > min(abs(vds)) THEN 'vds' END) AS conflict FROM u GROUP BY mfr, base""",
-    "a16_union": _SRC + " SELECT source, count(*) AS n, count(DISTINCT mpn) AS numbers FROM src GROUP BY source",
+    "a16_union": _SRC + " SELECT source, count(*) AS n, count(DISTINCT mpn) AS numbers, CASE source WHEN 'vendor' THEN 0 WHEN 'brand' THEN 1 ELSE 2 END AS place, CASE source WHEN 'vendor' THEN 0 WHEN 'brand' THEN 1 ELSE 2 END AS last_place FROM src GROUP BY source",
     "a20_upsert": _SRC + " SELECT mfr, mpn, ord, id FROM (SELECT *, row_number() OVER (PARTITION BY mfr, mpn ORDER BY ord DESC) AS rn FROM src) WHERE rn = 1",
     "f8_predicates": f"""WITH {DOBS_SQL} SELECT part FROM dobs GROUP BY part HAVING bool_or(symbol = 'Qg' AND coalesce(vtyp > 20, false)) AND NOT bool_or(symbol = 'Vsd' AND coalesce(vmax > 60, false)) AND bool_or(symbol = 'Rds_on' AND unit = 'mΩ')
       AND count(*) FILTER (WHERE symbol = 'Qgs') >= 2 AND bool_or(symbol = 'Coss' AND cond_vgs <= 6) AND bool_or(symbol = 'Qrr' AND unit LIKE '%C')""",

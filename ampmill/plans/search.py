@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampmill.operators import catalogue, specs
+from ampmill.session import table
 from ampmill.sources.derived import DPARTS_SQL, dparts
 
 RANGED = ["vds", "rds_on", "id", "qg", "qrr", "vpl", "coss", "rg"]
@@ -91,6 +92,12 @@ def b4_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("pk", *[catalogue.significant(F.col(c) * 1e9, 5).alias(f"{c}_n") for c in ("qg", "qgs", "qrr")])
 
 
+def b4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the export: makers and numbers as typed, quoted where they need it."""
+    p = table(spark, sf_dir, "parts")
+    return p.select("part_id", catalogue.csv_line(F.col("mfr"), F.col("mpn"), F.col("housing"), F.regexp_replace(catalogue.significant(F.col("Id")).cast("string"), r"\.0$", "")).alias("line"))
+
+
 def c24_si_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dparts(spark, sf_dir)
     return df.select("pk", catalogue.si_text(F.col("rds_on"), "Ω").alias("rds_on"), catalogue.si_text(F.col("id"), "A").alias("id"))
@@ -106,7 +113,7 @@ def g6_by_maker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dparts(spark, sf_dir).groupBy("mfr").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(chosen, F.lit(False))).alias("selected"))
 
 
-QUERIES = {f.__name__: f for f in (f1_substrate, f2_package, f3_voltage, f4_text, f10_facets, f11_wildcard, f12_sliders, f19_web_rows, g1_facets, g2_ranges_p99, g3_log_stats, g6_by_maker, j1_similarity, j2_nearest, b4_export, c24_si_text, w2_sorted_first)}
+QUERIES = {f.__name__: f for f in (f1_substrate, f2_package, f3_voltage, f4_text, f10_facets, f11_wildcard, f12_sliders, f19_web_rows, g1_facets, g2_ranges_p99, g3_log_stats, g6_by_maker, j1_similarity, j2_nearest, b4_export, b4_lines, c24_si_text, w2_sorted_first)}
 
 _REC = "rec AS (SELECT *, qgd + (qgs - qgs * (1 - CAST(0.55 AS DOUBLE))) AS qsw, qgd / qgs AS qgd_qgs_ratio FROM dparts)"
 _SCALE = {c: (" * 1e12" if c in ("qg", "qrr", "coss", "rds_on") else "") for c in RANGED}
@@ -127,7 +134,7 @@ SQL = {
     "f12_sliders": f"WITH {DPARTS_SQL} SELECT pk, coalesce(vds BETWEEN 60 AND 120, false) AS in_window, coalesce(vds >= -60, true) AS in_full, coalesce(rg >= 1 - 1e-9, false) AS in_open FROM dparts",
     "f19_web_rows": f"""WITH {DPARTS_SQL} SELECT pk, CASE WHEN substrate IN ('GaN', 'SiC') THEN substrate ELSE 'Si' END AS substrate, round(abs(vsd), 6) AS vsd,
         CAST((qgs IS NOT NULL)::INT + (qgd IS NOT NULL)::INT + (trr IS NOT NULL)::INT + (coss IS NOT NULL)::INT + (rg IS NOT NULL)::INT AS INTEGER) AS n_extras FROM dparts""",
-    "g1_facets": f"WITH {DPARTS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM dparts GROUP BY {c}" for c in ("mfr", "housing", "substrate")),
+    "g1_facets": f"WITH {DPARTS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce({c}, '') AS value, count(*) AS n FROM dparts GROUP BY coalesce({c}, '')" for c in ("mfr", "housing", "substrate")),
     "g2_ranges_p99": f"WITH {DPARTS_SQL}, lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}{_SCALE[c]} AS v FROM dparts WHERE {c} IS NOT NULL" for c in RANGED)
     + f"""), rk AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY col) AS n FROM lg)
       SELECT col AS "column", round(min(v), 4) AS min, round(max(v), 4) AS max, CASE WHEN col IN ({', '.join(repr(c) for c in RANGED[:5])}) AND max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.99) AS BIGINT)) THEN v END) < max(v)
@@ -137,6 +144,7 @@ SQL = {
     "j1_similarity": _SCORE,
     "j2_nearest": _SCORE + " ORDER BY score, pk LIMIT 10",
     "b4_export": f"WITH {DPARTS_SQL} SELECT pk, {', '.join(_SIG.format(x=f'({c} * 1e9)', n=5) + f' AS {c}_n' for c in ('qg', 'qgs', 'qrr'))} FROM dparts",
+    "b4_lines": "SELECT part_id, concat_ws(',', " + ", ".join(f"""CASE WHEN regexp_matches({c}, '[",\\r\\n]') THEN concat('"', replace({c}, '"', '""'), '"') ELSE coalesce({c}, '') END""" for c in ("mfr", "mpn", "housing", f"regexp_replace(CAST(CASE WHEN NOT isnan(Id) THEN {_SIG.format(x='Id', n=5)} END AS VARCHAR), '\\.0$', '')")) + ") AS line FROM parts",
     "c24_si_text": f"WITH {DPARTS_SQL} SELECT pk, " + ", ".join("CASE WHEN {c} = 0 THEN '0 {u}' ".format(c=c, u=u) + " ".join(f"WHEN abs({c}) >= {f} THEN concat(regexp_replace(CAST({_SIG.format(x=f'({c} / {f})', n=3)} AS VARCHAR), '\\.0$', ''), ' {p}{u}')" for p, f in (("M", 1e6), ("k", 1e3), ("", 1.0), ("m", 1e-3), ("µ", 1e-6), ("n", 1e-9), ("p", 1e-12))) + f" END AS {c}" for c, u in (("rds_on", "Ω"), ("id", "A"))) + " FROM dparts",
     "w2_sorted_first": f"WITH {DPARTS_SQL} SELECT pk, rg FROM dparts",
 }

@@ -20,6 +20,14 @@ def c9_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("row_id", F.try_element_at(m, F.lit("Vds")).alias("vds"), F.try_element_at(m, F.lit("Vgs")).alias("vgs"), F.try_element_at(m, F.lit("Id")).alias("id"), F.try_element_at(m, F.lit("di/dt")).alias("didt"), F.try_element_at(m, F.lit("I")).alias("i"))
 
 
+def c9_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conditions out of maps: one assignment under each position, or name and value apart."""
+    pieces = F.split("cond", ", ")
+    numbered = F.map_from_entries(F.transform(pieces, lambda p, i: F.struct(i.cast("string").alias("key"), p.alias("value"))))
+    m = tx.condition_map(tx.condition_text(F.when(F.length("cond") > 0, numbered)))
+    return table(spark, sf_dir, "extracted_rows").select("row_id", *[F.try_element_at(m, F.lit(k)).alias(n) for k, n in (("Vds", "vds"), ("Vgs", "vgs"), ("Id", "id"), ("I", "i"))])
+
+
 def c10_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "extracted_rows").select("row_id", F.round(tx.scaled_assignment(F.col("cond"), "ID"), 9).alias("id_a"))
 
@@ -75,7 +83,7 @@ def f9_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("n"))))
 
 
-QUERIES = {f.__name__: f for f in (c11_ensured, c25_sheet_path, f9_count, c1_normalized, c9_conditions, c10_scaled, c12_maker_tag, c13_housing, c14_dates, c16_mentions, c17_symbols, c18_row_values, f9_substring)}
+QUERIES = {f.__name__: f for f in (c11_ensured, c25_sheet_path, f9_count, c1_normalized, c9_conditions, c9_structured, c10_scaled, c12_maker_tag, c13_housing, c14_dates, c16_mentions, c17_symbols, c18_row_values, f9_substring)}
 
 _COND = lambda names: f"try_cast(nullif(regexp_extract(cond, '(?i)(?:^|[,; ])(?:{names})\\s*=\\s*([-+]?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE)"
 _SCALED = r"(?i)\bID\s*=\s*([-+]?[0-9.]+)\s*([mµμunkM]?)(?-i:[VAWΩFHsC]|Hz|Ohm)?"
@@ -111,6 +119,7 @@ def _row_values_sql() -> str:
 
 SQL = {
     "c9_conditions": f"SELECT row_id, {_COND('VDS|VDD|VR')} AS vds, {_COND('VGS')} AS vgs, {_COND('ID')} AS id, {_COND('di/dt')} AS didt, {_COND('IF|IS')} AS i FROM extracted_rows",
+    "c9_structured": f"SELECT row_id, {_COND('VDS|VDD|VR')} AS vds, {_COND('VGS')} AS vgs, {_COND('ID')} AS id, {_COND('IF|IS')} AS i FROM extracted_rows",
     "c12_maker_tag": "SELECT part_id, CASE " + " ".join("WHEN starts_with(lower(mfr), '{}') THEN '{}'".format(s, t) for t, s in tx.MAKER_TAGS) + " ELSE replace(lower(mfr), ' ', '_') END AS tag FROM parts",
     "c10_scaled": f"SELECT row_id, round(try_cast(nullif(regexp_extract(cond, '{_SCALED}', 1), '') AS DOUBLE) * CASE regexp_extract(cond, '{_SCALED}', 2) WHEN 'm' THEN 1e-3 WHEN 'µ' THEN 1e-6 WHEN 'μ' THEN 1e-6 WHEN 'u' THEN 1e-6 WHEN 'n' THEN 1e-9 WHEN 'k' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1 END, 9) AS id_a FROM extracted_rows",
     "c11_ensured": r"""WITH h AS (SELECT listing_id, trim(regexp_extract(gate_charge, '^([^@]*)', 1)) AS q, trim(regexp_extract(rds_on, '^([^@]*)', 1)) AS r FROM listings),

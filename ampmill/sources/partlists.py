@@ -185,9 +185,19 @@ def run_config(path: str) -> dict:
     return numeric(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
-def write_ranked_csv(df: DataFrame, path: str, sort: list[str], digits: int = 3) -> None:
-    """One sorted CSV report (B1): numbers to significant digits, missing last. A report is a top-k list; large results are written as Parquet."""
+#: Rows that go into one file; longer reports are written as parts in sorted order.
+REPORT_ROWS = 1_000_000
+
+
+def write_ranked_csv(df: DataFrame, path: str, sort: list[str], digits: int | dict[str, int] = 3) -> None:
+    """A sorted CSV report (B1): numbers to significant digits (of all columns, or by column), missing last.
+
+    One file up to REPORT_ROWS rows; a longer report stays in its range-partitioned parts, in order.
+    """
     from ampmill.operators.loss import round_sig
 
-    out = df.select(*[round_sig(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
-    out.orderBy(*[F.col(c).asc_nulls_last() for c in sort if c in df.columns]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    n = lambda c: digits.get(c, 3) if isinstance(digits, dict) else digits
+    out = df.select(*[round_sig(F.col(f.name), n(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+    by = [F.col(c).asc_nulls_last() for c in sort if c in df.columns]
+    short = out.count() <= REPORT_ROWS
+    (out.coalesce(1).sortWithinPartitions(*by) if short and by else out.coalesce(1) if short else out.orderBy(*by)).write.mode("overwrite").option("header", True).csv(path)

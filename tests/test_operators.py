@@ -243,3 +243,25 @@ def test_recovery_by_maker(spark):
 )
 def test_text_values_by_family(symbol, lines, want):
     assert quality.parse_values(symbol, lines, True)[:6] == want
+
+
+def test_directions_of_boxes(spark):
+    boxes = [(1, (0.0, 0.0, 10.0, 10.0)), (2, (20.0, 1.0, 30.0, 9.0)), (3, (2.0, 15.0, 9.0, 25.0)), (4, (40.0, 0.0, 50.0, 10.0)), (5, None)]
+    df = spark.createDataFrame([("p", i, b) for i, b in boxes], "page string, id long, bbox struct<x1: double, y1: double, x2: double, y2: double>")
+    near = lambda d: {(r.id, r.other): r.gap for r in curves.nearest_in_direction(df, ["page"], 1, 0.4, d).collect()}
+    assert near("right") == {(1, 2): 10.0, (2, 4): 10.0} and near("left") == {(2, 1): 10.0, (4, 2): 10.0}
+    assert near("above") == {(1, 3): 5.0} and near("below") == {(3, 1): 5.0}
+
+
+def test_structured_conditions(spark):
+    maps = [({"0": "VDS = 50 V", "1": "ID = 3 A"},), ({"VGS": "10 V", "x": "1"},), (None,), ({},)]
+    m = spark.createDataFrame(maps, "m map<string,string>").select(tx.condition_map(tx.condition_text(F.col("m"))).alias("c")).collect()
+    assert [r.c for r in m] == [{"Vds": 50.0, "Id": 3.0}, {"Vgs": 10.0}, {}, {}]
+
+
+def test_export_lines(spark, tmp_path):
+    df = spark.createDataFrame([('a "b"', 1234567.0, None), ("c,d", 0.00012345678, 2.0)], "t string, x double, y double")
+    catalogue.write_export(df, str(tmp_path / "e"), ["t", "x"], "y")
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "e/rows").glob("part-*")))
+    assert set(raw.decode().split("\r\n")) == {'"a ""b""",1234600,', '"c,d",1.2346E-4,2', ""}
+    assert b"".join(p.read_bytes() for p in (tmp_path / "e/header").glob("part-*")).decode() == "﻿t,x,y\r\n"

@@ -137,3 +137,12 @@ def test_large_dictionaries_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(imputation, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(imputation, "HOT_SHARE", 20)
     assert {(r.part_id, r.field): r.number for r in imputation.fill_missing(parts(spark, rows)).collect()} == small
+
+
+def test_found_cells_come_from_the_provenance(spark):
+    """The rows of p1_found aren't a mere predicate: their plan holds the joins with the dictionaries."""
+    rows = [("ABC12345N10K", "Si", "TO-220", 100.0, 5e-8, 4.0), ("ABC12345N10KQTR1", "Si", "TO-220", 100.0, 5e-8, 4.0), ("ABC12345N10KTRL3", "Si", "DPAK", 100.0, None, None)]
+    found = imputation.fill_missing(parts(spark, rows)).filter("method <> 'given'").select("part_id", "field")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" in plan
+    assert {tuple(r) for r in found.collect()} == {(2, "Qrr"), (2, "V_pl")}
