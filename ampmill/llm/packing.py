@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,51 +24,67 @@ from ampmill.session import materialize
 CAPACITY = 2048
 #: Lengths above CAPACITY / SMALL_PARTS are large.
 SMALL_PARTS = 8
-#: Number of groups of equal cardinality; the unused space bought by rounding falls with it.
-GROUPS = 24
+#: Numbers of groups of equal cardinality that are tried. Few leave rooms that small documents fill, many waste less where there are few small ones.
+GROUPS = (24, 384)
 #: Rows that are ranked in one piece: a length has as many hash buckets as its count asks for, so that no length is one task's work.
 RANK_ROWS = 100_000
 
 
-def _best_configuration(sizes: list[int], values: list[float], left: list[int], capacity: int) -> tuple[float, list[int]]:
-    """The most valuable multiset of sizes within the capacity, no size more often than left: a bounded knapsack."""
-    best = [0.0] * (capacity + 1)
-    used: list[tuple[int, ...]] = [()] * (capacity + 1)
+def _best_configuration(sizes: list[int], values: list[float], left: list[int], capacity: int) -> list[int]:
+    """How often each size stands in the most valuable multiset within the capacity, no size more often than left: a bounded knapsack.
+
+    One vectorised pass over all rooms for each copy of a size; the passes' choices are walked back.
+    """
+    best = np.zeros(capacity + 1)
+    passes: list[tuple[int, np.ndarray]] = []
     for g, (size, value) in enumerate(zip(sizes, values)):
-        for _ in range(min(left[g], capacity // size)):
-            changed = False
-            for room in range(capacity, size - 1, -1):
-                if (v := best[room - size] + value) > best[room] + 1e-12 and used[room - size].count(g) < left[g]:
-                    best[room], used[room], changed = v, (*used[room - size], g), True
-            if not changed:
+        for _ in range(min(left[g], capacity // size) if size <= capacity else 0):
+            with_one = best[:-size] + value
+            taken = with_one > best[size:] + 1e-9
+            if not taken.any():
                 break
-    top = max(range(capacity + 1), key=lambda r: (best[r], -r))
-    return best[top], [used[top].count(g) for g in range(len(sizes))]
+            best[size:] = np.where(taken, with_one, best[size:])
+            passes.append((g, taken))
+    room, config = int(np.argmax(best)), [0] * len(sizes)
+    for g, taken in reversed(passes):
+        size = sizes[g]
+        if room >= size and taken[room - size]:
+            config[g] += 1
+            room -= size
+    return config
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """(how often each size, number of containers): covers all counts.
+    """(how often each size, number of containers): covers all counts; sizes from the largest on.
 
-    Each round takes the configuration that fills a container best, sizes that are far from exhausted
-    weighing slightly more, and repeats it as often as the remaining counts allow; at least one size
-    is used up in each round, so there are at most len(sizes) rounds.
+    Each round begins a container with the largest size left, which only becomes harder to place, fills
+    the rest of it best (a knapsack in which larger sizes break ties), and repeats that as often as the
+    remaining counts allow; at least one size is used up in each round, so there are at most len(sizes).
     """
     left, out = list(counts), []
-    while any(left):
-        total = sum(left)
-        values = [s * (1 + 0.02 * n / total) for s, n in zip(sizes, left)]
-        _, config = _best_configuration(sizes, values, left, capacity)
-        times = min(left[g] // n for g, n in enumerate(config) if n)
-        left = [a - n * times for a, n in zip(left, config)]
-        out.append((config, times))
+    values = [s * (1 + 1e-3 * s / capacity) for s in sizes]
+    for top, size in enumerate(sizes):
+        while left[top]:
+            rest = [n - (g == top) for g, n in enumerate(left)]
+            config = _best_configuration(sizes, values, rest, capacity - size)
+            config[top] += 1
+            times = min(left[g] // n for g, n in enumerate(config) if n)
+            left = [a - n * times for a, n in zip(left, config)]
+            out.append((config, times))
     return out
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_parts: int = SMALL_PARTS) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (content of a container as lengths, number of such containers) that hold the histogram exactly.
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, groups: int | tuple[int, ...] = GROUPS, small_parts: int = SMALL_PARTS) -> list[tuple[tuple[int, ...], int]]:
+    """Runs (content of a container as lengths, number of such containers) that hold the histogram exactly: the plan with the fewest containers among those for the numbers of groups.
 
     Lengths are 1..capacity. Work and result are bounded by the number of distinct lengths, not by their counts.
     """
+    plans = [_packed(histogram, capacity, g, small_parts) for g in ((groups,) if isinstance(groups, int) else groups)]
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
+
+
+def _packed(histogram: dict[int, int], capacity: int, groups: int, small_parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan for one number of groups."""
     hist = {s: n for s, n in histogram.items() if n > 0 and s > 0}
     large = sorted((s for s in hist if s > capacity // small_parts), reverse=True)
     small = sorted((s for s in hist if s <= capacity // small_parts), reverse=True)
@@ -167,7 +184,7 @@ def rank_within(df: DataFrame, key: str, order: str, buckets: Column | int) -> D
     return salted.withColumn("__r", inside).join(offsets, [key, "__b"]).withColumn("rank", F.col("__r") + F.col("__off")).drop("__b", "__r", "__off")
 
 
-def pack_documents(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_parts: int = SMALL_PARTS) -> DataFrame:
+def pack_documents(counts: DataFrame, capacity: int = CAPACITY, groups: int | tuple[int, ...] = GROUPS, small_parts: int = SMALL_PARTS) -> DataFrame:
     """Containers for documents measured as (doc_id, n_tokens).
 
     Result (doc_id, n_tokens, n_pieces, piece, piece_tokens, container_id): one row per document, or one

@@ -66,6 +66,15 @@ def test_packing_work_does_not_grow_with_counts():
     assert len(runs) < 10_000 and sum(n * sum(c) for c, n in runs) == sum(s * n for s, n in h.items())
 
 
+@pytest.mark.parametrize("middle, waste", [(4.5, 0.002), (5.5, 0.005), (6.8, 0.025)])
+def test_unused_space_at_scale(middle, waste):
+    """Half a billion documents, few or many of them small: containers above the lower bound."""
+    import math
+
+    h = {s: int(1e6 * math.exp(-(((math.log(s) - middle) / 1.1) ** 2) / 2)) for s in range(1, 2049)}
+    assert sum(n for _, n in packing.pack_histogram(h)) <= (1 + waste) * sum(s * n for s, n in h.items()) / 2048
+
+
 def test_pack_documents(spark):
     rows = [(i, 700) for i in range(6)] + [(10, 0), (11, None), (12, 5000), (13, 2048), (14, 2049), (14, 2049)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, n_tokens int")).collect()
