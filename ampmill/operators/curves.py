@@ -199,8 +199,12 @@ def table_groups(rows: DataFrame, page: list[str], gap: float = 30.0) -> DataFra
     return rows.withColumn("__new", F.when(step.isNull() | (step >= gap) | F.col("is_header"), 1).otherwise(0)).withColumn("table_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def cells_in_columns(words: DataFrame, headers: DataFrame, page: list[str], least: float = 0.8) -> DataFrame:
-    """(page, word, header): words that lie under a header by its width."""
+def cells_in_columns(words: DataFrame, headers: DataFrame, page: list[str], least: float = 0.8, rows: DataFrame | None = None) -> DataFrame:
+    """(page, word, header), with rows also row: words that lie under a header by its width and, where rows (symbols) are given, beside a row by its height and to its right (D9). y grows upwards."""
     w = words.select(*page, F.col("id").alias("word"), F.col("bbox").alias("w"))
     h = headers.select(*page, F.col("id").alias("header"), F.col("bbox").alias("h"))
-    return w.join(h, page).filter((overlap("w", "h", "x") > least) & (F.col("w.y2") <= F.col("h.y1"))).select(*page, "word", "header")
+    found = w.join(h, page).filter((overlap("w", "h", "x") > least) & (F.col("w.y2") <= F.col("h.y1")))
+    if rows is None:
+        return found.select(*page, "word", "header")
+    r = rows.select(*page, F.col("id").alias("row"), F.col("bbox").alias("r"))
+    return found.join(r, page).filter((overlap("w", "r", "y") > least) & (F.col("w.x1") >= F.col("r.x2"))).select(*page, "word", "header", "row")

@@ -92,6 +92,22 @@ def switch_times_inductive(qgs2: Column, qgd: Column, vpl: Column, rg: Column, v
     return rise, fall
 
 
+def switch_times_constant(qsw: Column, vpl: Column, rg: Column, von: Column, voff: Column) -> tuple[Column, Column]:
+    """(tr, tf) with the plateau's gate current throughout (H6).
+
+    The model takes the turn-on current as voff - vpl, so that rise times come out negative where the
+    drive goes to zero; they are kept as they are. Null where the drive doesn't exceed the plateau.
+    """
+    drives = von > vpl
+    return F.when(drives, qsw * rg / (voff - vpl)), F.when(drives, qsw * rg / (vpl - voff))
+
+
+def switch_times_one_resistance(qgs2: Column, qgd: Column, vpl: Column, vth: Column, rg: Column, von: Column, voff: Column) -> tuple[Column, Column]:
+    """(tr, tf) from charges, with one gate resistance for both edges and without a test of the drive (H6)."""
+    middle = (vpl + vth) / 2
+    return (qgs2 / (von - middle) + qgd / (von - vpl)) * rg, (qgs2 / (middle - voff) + qgd / (vpl - voff)) * rg
+
+
 def losses_from_times(tr: Column, tf: Column) -> Column:
     """Switching loss from rise and fall times; a missing fall time is 1.5 rise times, a missing rise time a fall time."""
     rise, fall = F.coalesce(tr, tf), F.coalesce(tf, tr * 1.5)

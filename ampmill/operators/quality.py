@@ -307,10 +307,23 @@ def json_fields(docs: DataFrame, id_col: str, col: str) -> DataFrame:
 
 
 def header_columns(words: DataFrame, page: list[str]) -> DataFrame:
-    """(page, kind, x1, x2) of the columns that header words name (D7): adjacent headers of one kind merged, the narrower one kept for values."""
-    kind = F.when(F.lower("text").rlike(r"^(parameter|symbol|bezeichnung)"), "symbol").when(F.lower("text").rlike(r"^min"), "min").when(F.lower("text").rlike(r"^(typ|nom)"), "typ").when(F.lower("text").rlike(r"^max"), "max").when(F.lower("text").rlike(r"^(unit|einheit|unit[ée])"), "unit").when(F.lower("text").rlike(r"^(condition|note|test|bedingung)"), "cond")
+    """(page, kind, x1, x2) of the columns that header words name.
+
+    words has text, x1, y1, x2, y2. Header words whose rows touch or lie within half a height of each
+    other are one header: words of one kind in it are merged to their common range. Where a page has
+    several headers, the narrower range is kept for the value columns, the wider one for the others.
+    """
+    low = F.lower("text")
+    kind = F.when(low.rlike(r"^(parameter|symbol|bezeichnung)"), "symbol").when(low.rlike(r"^min"), "min").when(low.rlike(r"^(typ|nom)"), "typ").when(low.rlike(r"^max"), "max").when(low.rlike(r"^(unit|einheit|unit[ée])"), "unit").when(low.rlike(r"^(condition|note|test|bedingung)"), "cond")
     h = words.withColumn("kind", kind).filter("kind is not null")
-    return h.groupBy(*page, "kind").agg(F.min_by(F.struct("x1", "x2"), F.col("x2") - F.col("x1")).alias("b")).select(*page, "kind", "b.*")
+    w = Window.partitionBy(*page).orderBy("y1", "x1")
+    below = F.max("y2").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    h = h.withColumn("__new", F.when(below.isNull() | (F.col("y1") - below > 0.5 * (F.col("y2") - F.col("y1"))), 1).otherwise(0))
+    h = h.withColumn("__header", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = h.groupBy(*page, "kind", "__header").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    width = F.col("x2") - F.col("x1")
+    best = F.min(F.struct(F.when(F.col("kind").isin("min", "typ", "max"), width).otherwise(-width).alias("w"), "x1", "x2"))
+    return merged.groupBy(*page, "kind").agg(best.alias("b")).select(*page, "kind", "b.x1", "b.x2")
 
 
 def cast_ray(boxes: DataFrame, edge: str, start: float, end: float) -> DataFrame:

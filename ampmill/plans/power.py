@@ -116,6 +116,14 @@ def h6_lcsi_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("pk", F.round(rise * 1e9, 5).alias("tr_ns"), F.round(fall * 1e9, 5).alias("tf_ns"), F.round(loss.losses_from_times(F.when(F.col("pk") % 3 != 0, F.col("trr")), F.when(F.col("pk") % 3 != 1, F.col("trr") / 2)), 6).alias("p_trf"))
 
 
+def h6_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rise and fall times by the two simpler models."""
+    j = _records(spark, sf_dir).crossJoin(F.broadcast(_point(spark))).withColumn("vp", F.coalesce("vpl", "vpl_fallback")).withColumn("r", F.greatest("rg", "rg_on"))
+    a, b = loss.switch_times_constant(F.col("qsw"), F.col("vp"), F.col("r"), F.col("von"), F.col("voff"))
+    c, d = loss.switch_times_one_resistance(F.col("qgs2"), F.col("qgd"), F.col("vp"), F.col("vp") * F.try_divide("qg_th", "qgs"), F.col("r"), F.col("von"), F.col("voff"))
+    return j.select("pk", *[F.round(x * 1e9, 6).alias(n) for n, x in (("tr_const_ns", a), ("tf_const_ns", b), ("tr_one_ns", c), ("tf_one_ns", d))])
+
+
 def h7_ls_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = loss.low_side(_records(spark, sf_dir).crossJoin(F.broadcast(_point(spark))))
     return ls.select("pk", *_w("p_cl", "p_coss", "p_rr", "p_gd", "p_dt"), F.round(loss.ls_total(), 6).alias("p_total"))
@@ -149,7 +157,7 @@ def w3_top_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.cheapest(r.filter("n = 1"), "p_total", 5000).select("pk", F.round("p_total", 6).alias("p_total"))
 
 
-QUERIES = {f.__name__: f for f in (f5_vds_window, f7_preselect, f13_self_turn_on, f15_foms, f16_gate_charge, h5_gan_loss, h3_hot_resistance, b2_layouts, f17_violations, f18_catalogue, h1_operating_point, h4_coss_loss, h5_hs_loss, h6_lcsi_times, h7_ls_loss, h10_hs_ranking, h12_ls_ranking, h13_report, h11_staged_pairs, w3_top_losses)}
+QUERIES = {f.__name__: f for f in (f5_vds_window, f7_preselect, f13_self_turn_on, f15_foms, f16_gate_charge, h5_gan_loss, h3_hot_resistance, b2_layouts, f17_violations, f18_catalogue, h1_operating_point, h4_coss_loss, h5_hs_loss, h6_lcsi_times, h6_variants, h7_ls_loss, h10_hs_ranking, h12_ls_ranking, h13_report, h11_staged_pairs, w3_top_losses)}
 
 # The same models in SQL, with the scenario's numbers as literals.
 _D = "CAST({} AS DOUBLE)"
@@ -219,6 +227,9 @@ SQL = {
       SELECT pk, round((qgs2 / ((von - vp) / (r + 1e-9 * io_min / qgs2)) + qgd / ((-r + sqrt(r * r + 4 * a * (von - vp))) / (2 * a))) * 1e9, 5) AS tr_ns,
         round((qgs2 / ((vp - voff) / (r + 1e-9 * io_max / qgs2)) + qgd / ((-r + sqrt(r * r + 4 * a * (vp - voff))) / (2 * a))) * 1e9, 5) AS tf_ns,
         round(0.5 * vi * f * (CASE WHEN pk % 3 <> 0 THEN trr ELSE trr / 2 END * io_min + CASE WHEN pk % 3 <> 1 THEN trr / 2 ELSE trr * 1.5 END * io_max), 6) AS p_trf FROM q""",
+    "h6_variants": f"""{_ALL}, q AS (SELECT *, coalesce(vpl, vplf) AS vp, greatest(coalesce(rg, rg_on), rg_on) AS r FROM j), m AS (SELECT *, (vp + vp * (qg_th / qgs)) / 2 AS vm FROM q)
+      SELECT pk, round(CASE WHEN von > vp THEN qsw * r / (voff - vp) END * 1e9, 6) AS tr_const_ns, round(CASE WHEN von > vp THEN qsw * r / (vp - voff) END * 1e9, 6) AS tf_const_ns,
+        round((qgs2 / (von - vm) + qgd / (von - vp)) * r * 1e9, 6) AS tr_one_ns, round((qgs2 / (vm - voff) + qgd / (vp - voff)) * r * 1e9, 6) AS tf_one_ns FROM m""",
     "h7_ls_loss": f"{_ALL}, {_LS.format(src='j')} SELECT pk, {_r('p_cl', 'p_coss', 'p_rr', 'p_gd', 'p_dt')}, round(p_cl + p_coss + p_gd + p_dt + p_rr, 6) AS p_total FROM ls",
     "h10_hs_ranking": f"""{_ALL}, {_PRE}, {_TIMES.format(src='pre')}, {_HS},
       n AS (SELECT hs.pk, mpn, k.n, id, io_max, CASE WHEN k.n = 1 THEN p_cl ELSE p_cl / k.n * 0.9 END AS p_cl, p_sw, p_coss * k.n AS p_coss, p_gd * k.n AS p_gd FROM hs CROSS JOIN (SELECT CAST(1 AS INTEGER) AS n UNION ALL SELECT CAST(2 AS INTEGER)) k)

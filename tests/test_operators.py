@@ -265,3 +265,16 @@ def test_export_lines(spark, tmp_path):
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "e/rows").glob("part-*")))
     assert set(raw.decode().split("\r\n")) == {'"a ""b""",1234600,', '"c,d",1.2346E-4,2', ""}
     assert b"".join(p.read_bytes() for p in (tmp_path / "e/header").glob("part-*")).decode() == "﻿t,x,y\r\n"
+
+
+def test_header_columns_and_cells(spark):
+    word = "page string, text string, x1 double, y1 double, x2 double, y2 double"
+    rows = [("p", "Symbol", 0.0, 0.0, 30.0, 8.0), ("p", "Min.", 50.0, 0.0, 60.0, 8.0), ("p", "min", 48.0, 9.0, 58.0, 17.0), ("p", "Max", 70.0, 0.0, 82.0, 8.0), ("p", "Max", 70.0, 100.0, 78.0, 108.0), ("p", "Parameter", 0.0, 100.0, 45.0, 108.0), ("p", "VDS", 0.0, 20.0, 9.0, 28.0), (None, "Typ", 1.0, 0.0, 2.0, 8.0)]
+    got = {(r.page, r.kind): (r.x1, r.x2) for r in quality.header_columns(spark.createDataFrame(rows, word), ["page"]).collect()}
+    assert got == {("p", "symbol"): (0.0, 45.0), ("p", "min"): (48.0, 60.0), ("p", "max"): (70.0, 78.0), (None, "typ"): (1.0, 2.0)}
+    box = "page string, id long, bbox struct<x1: double, y1: double, x2: double, y2: double>"
+    headers = spark.createDataFrame([("p", 1, (50.0, 100.0, 60.0, 108.0)), ("p", 2, (70.0, 100.0, 80.0, 108.0))], box)
+    symbols = spark.createDataFrame([("p", 7, (0.0, 80.0, 20.0, 88.0)), ("p", 8, (0.0, 60.0, 20.0, 68.0))], box)
+    words = spark.createDataFrame([("p", 21, (51.0, 80.0, 59.0, 88.0)), ("p", 22, (71.0, 60.5, 79.0, 68.5)), ("p", 23, (5.0, 60.0, 9.0, 68.0)), ("p", 24, (64.0, 80.0, 68.0, 88.0))], box)
+    assert {(r.word, r.header) for r in curves.cells_in_columns(words, headers, ["page"]).collect()} == {(21, 1), (22, 2)}
+    assert {(r.word, r.header, r.row) for r in curves.cells_in_columns(words, headers, ["page"], 0.8, symbols).collect()} == {(21, 1, 7), (22, 2, 8)}
