@@ -47,7 +47,7 @@ def plain_form(df: DataFrame, value: str, field: str, name: str) -> DataFrame:
     """
     entities = F.regexp_replace(F.regexp_replace(F.col(value), r"&times;|&#215;|×", "x"), r"&#82(08|09|11|12);|&ndash;|&mdash;|&minus;|[–—]", "-")
     entities = F.regexp_replace(F.regexp_replace(entities, r"&nbsp;|&#160;", " "), r"&amp;", "&")
-    df = composed(with_key(df.withColumn(name, entities), name, F.lit(True), name), name)
+    df = composed(with_key(df.withColumn(name, entities), name, F.lit(True), name), name, 1)
     accents = _accents()
     col = F.lower(F.translate(F.col(name), "".join(accents), "".join(accents.values())))
     col = F.regexp_replace(col, r"(?<![a-z])[uμ](?=electr)", "micro")
@@ -87,7 +87,7 @@ def _prefixes(sets: DataFrame, threshold: float, prefix: str) -> DataFrame:
 
 
 def match_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(field, value, canon_id, name, similarity) for each distinct value of values (field, value).
+    """(field, value, plain, canon_id, name, similarity) for each distinct value of values (field, value); plain is its plain form.
 
     canon has canon_id, kind (the field), name and aliases. A value without entry gets canon_id 0, null
     name and similarity 0. Null values are dropped; ties go to fewer edits, then to the smaller id. An
@@ -129,7 +129,7 @@ def match_values(values: DataFrame, canon: DataFrame, threshold: float = THRESHO
     best = Window.partitionBy("field", "plain").orderBy(F.desc("similarity"), "edits", "canon_id")
     best_pairs = pairs.filter(good).withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank", "edits", "form")
     out = distinct.select("field", "value", "plain").join(best_pairs, ["field", "plain"], "left")
-    return out.select("field", "value", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id"), "name", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return out.select("field", "value", "plain", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id"), "name", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def canonical_fields(rows: DataFrame, canon: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ampmill.functions.bind import let
 from ampmill.functions.mpn import PACKING
-from ampmill.llm.canonical import match_values, plain_form
+from ampmill.llm.canonical import match_values
 from ampmill.session import materialize
 
 # Log-odds of the attributes' agreement. Each is (agrees closely, agrees roughly, differs).
@@ -69,8 +69,7 @@ def _makers(parts: DataFrame, listings: DataFrame, canon: DataFrame) -> DataFram
     """(field, value, key): makers and packages by their entry, those without entry by their plain form; null keys never."""
     typed = [df.select(F.lit(f).alias("field"), F.col(c).alias("value")) for df, f, c in ((parts, "mfr", "mfr"), (listings, "mfr", "mfr"), (parts, "housing", "housing"), (listings, "housing", "package_case"))]
     values = typed[0].unionByName(typed[1]).unionByName(typed[2]).unionByName(typed[3]).filter("value is not null").distinct()
-    named = plain_form(match_values(values, canon), "value", "field", "plain")
-    return named.select("field", "value", F.when(F.col("canon_id") > 0, F.concat(F.lit("#"), F.col("canon_id"))).otherwise(F.replace("plain", F.lit(" "), F.lit(""))).alias("key")).filter("key <> ''")
+    return match_values(values, canon).select("field", "value", F.when(F.col("canon_id") > 0, F.concat(F.lit("#"), F.col("canon_id"))).otherwise(F.replace("plain", F.lit(" "), F.lit(""))).alias("key")).filter("key <> ''")
 
 
 def _with_keys(df: DataFrame, keys: DataFrame, maker: str, package: str) -> DataFrame:

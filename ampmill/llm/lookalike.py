@@ -101,10 +101,10 @@ def _spelled(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.when(col.rlike(_NEAR), _by_token(col, f"(?<={_NEAR})|(?={_NEAR})", _spell)).otherwise(col))
 
 
-def composed(df: DataFrame, name: str) -> DataFrame:
-    """df with letters and up to two combining accents as single letters, where such letters exist."""
+def composed(df: DataFrame, name: str, accents: int = 2) -> DataFrame:
+    """df with letters and up to so many combining accents as single letters, where such letters exist."""
     col = F.col(name)
-    for _ in range(2):
+    for _ in range(accents):
         df = df.withColumn(name, F.when(col.rlike(r"\p{L}\p{M}"), _by_token(col, r"(?=\p{L}\p{M})|(?<=\p{M})(?!\p{M})", _compose)).otherwise(col))
     return df
 
