@@ -60,7 +60,8 @@ _ADDRESS = (
     rf"|(?:\b|(?<=\s)){_STREET_ES} {_LINK}{_CAPS},? (?:nº|n°|n\.º|núm\.|No\.)? ?\d{{1,4}} ?[a-z]?\b(?:-\d+)?)"
 )
 _NUMBER = r"(?P<number>(?P<digits>\+?\(?\d+(?:(?:\) ?| \(|[ ./\-‑])\d+)+(?:-[A-Z]\b)?)|\+\d{8,14}|\b[A-Z]{1,3}\d{5,9}[A-Z]?\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{7,12}(?:-?[A-Z])?\b)"
-_WORD = rf"(?P<word>\b(?:[A-Z]\.(?= ?[A-Z])|{_CAP}))"
+# a letter right behind a number or a degree sign is a unit, not an initial
+_WORD = rf"(?P<word>\b(?:(?<![\d°])(?<![\d°] )[A-Z]\.(?= ?[A-Z])|{_CAP}))"
 #: Everything but an e-mail address begins with one of these.
 _FIRST = r"(?=[0-9+(A-ZÀ-ÖØ-Þ])"
 #: Without one of these a text holds no e-mail address.
@@ -480,7 +481,7 @@ def _spans(text: str | None, nodes: list[Node], states: np.ndarray) -> list[tupl
         if kind == "person":
             # words of one mention: blanks, particles, and one comma between surname and given name
             k, commas = i + 1, 0
-            while k < len(nodes) and nodes[k].kind == "word" and states[k] == 1:
+            while k < len(nodes) and nodes[k].kind == "word" and states[k] == 1 and nodes[k].text.rstrip(".").lower() not in TITLES:
                 between = text[end : nodes[k].start]
                 joined = between in (" ", "") or between.strip() and "\n" not in between and "," not in between and all(x in PARTICLES for x in between.split())
                 if between == ", " and not commas and _turned(nodes[i:k]) and nodes[k].text.lower() not in NO_NAMES:

@@ -238,6 +238,12 @@ def test_lettered_id_numbers_of_six_digits(model, text):
     assert found(model, f"My passport no. {text} is new.") == {("id_number", text)}
 
 
+def test_units_are_no_initials(model):
+    words = lambda t: [n.text for n in personal.nodes_of(t) if n.kind == "word"]
+    assert words("at 36 V. Frau Beate and 25 °C. Anton, by V. Frau") == ["V", "Frau", "Beate", "C", "Anton", "V.", "Frau"]
+    assert ("person", "Beate") in found(model, "It was 36 V. My colleague Frau Beate ran the test.")
+
+
 @pytest.mark.parametrize("text", ["d.ost (at) lab.example", "d.ost at lab dot example", "D.Ost@LAB.EXAMPLE", "d.ost+x@eu.lab.example"])
 def test_email_spellings(model, text):
     assert found(model, f"mail {text}, please") == {("email", text)}
